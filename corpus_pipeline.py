@@ -1,10 +1,66 @@
-"""A training-data pipeline over documents."""
+"""A training-data pipeline over documents: each stage applies one operator to all that its predecessor kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.llm.byte_bpe import encode_decode
+from kindred.llm.mixing import mix_sources
+from kindred.llm.ngram_jaccard import near_duplicates
+from kindred.llm.substring_dedup import remove_repeats
+from kindred.llm.toxicity import toxicity
+from kindred.plans.stage import staged
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(docs, labels).where("tox_predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; rows without an id stay."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the repeated passages; a text that was all repeated stays as an empty one."""
+    changed = remove_repeats(docs).where("n_removed > 0").select("rid", "kept").dropDuplicates(["rid"])
+    out = docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(changed, "rid", "left")
+    n = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("kept").cast("long"))
+    return out.withColumn("text", F.coalesce("kept", "text")).withColumn("n_chars", n).select(*docs.columns)
+
+
+def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the schedule: files and rows within files follow it."""
+    mixed = mix_sources(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return encode_decode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=kept)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("mixing", interleave),
+    ("byte_bpe", encode),
+]
+
+#: No stage of this pipeline is expressible in SQL; tests hold it against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.llm.byte_bpe import encode_decode
+from kindred.llm.mixing import mix_sources
 from kindred.llm.ngram_jaccard import near_duplicates
 from kindred.llm.substring_dedup import remove_repeats
+from kindred.llm.toxicity import FOLDS, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
+    return scored.select("doc_id", (fold == 0).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_substring_dedup, op9_ngram_jaccard_join)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}

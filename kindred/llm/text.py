@@ -19,6 +19,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes outside letters, where bytes over 0x7F count as letters.
+_OTHER = np.ones(256, bool)
+_OTHER[65:91] = _OTHER[97:123] = _OTHER[128:] = False
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -57,10 +60,10 @@ class Words:
     with the number of words at the end; lo: index of the run's first document in its batch.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lo: int):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lo: int, letters: bool = False):
         self.data, self.lo, self.n_docs = data, lo, len(bounds) - 1
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = ~(_OTHER if letters else _SPACE)[data]
         before = np.ones(n + 1, bool)
         before[1:] = ~solid
         after = np.ones(n + 1, bool)
@@ -104,8 +107,8 @@ def large_binary(column: pa.Array | pa.ChunkedArray) -> pa.LargeBinaryArray:
     return out.fill_null(b"") if out.null_count else out
 
 
-def runs(column: pa.Array, lower: bool = False, limit: int = SLICE) -> Iterator[Words]:
-    """The words of a batch, in runs of whole documents."""
+def runs(column: pa.Array, lower: bool = False, letters: bool = False, limit: int = SLICE) -> Iterator[Words]:
+    """The words of a batch, in runs of whole documents; lower: A-Z as a-z; letters: words are runs of letters."""
     arr = large_binary(column)
     n = len(arr)
     if not n:
@@ -117,7 +120,7 @@ def runs(column: pa.Array, lower: bool = False, limit: int = SLICE) -> Iterator[
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         part = data[offsets[lo] : offsets[hi]]
-        yield Words(_LOWER[part] if lower else part, offsets[lo : hi + 1] - offsets[lo], lo)
+        yield Words(_LOWER[part] if lower else part, offsets[lo : hi + 1] - offsets[lo], lo, letters)
         lo = hi
 
 
