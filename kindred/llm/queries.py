@@ -7,21 +7,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.byte_bpe import encode_decode
+from kindred.llm.embedding_join import embedding_links
 from kindred.llm.mixing import mix_sources
 from kindred.llm.ngram_jaccard import near_duplicates
+from kindred.llm.sharding import assign_shards
 from kindred.llm.substring_dedup import remove_repeats
 from kindred.llm.toxicity import FOLDS, toxicity
+from kindred.llm.url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_decode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+#: (verdict, host, path) as the contract gives them.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = assign_shards(rows, F.col("doc_id"), 8, tie=(F.col("text_crc32"), F.col("size")))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "ring_shard", "hops")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -40,5 +64,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_url_filter, op5_sharding, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
