@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from kindred.llm.byte_bpe import encode_decode
 from kindred.llm.embedding_join import embedding_links
+from kindred.llm.flac import flac_column
 from kindred.llm.mixing import mix_sources
 from kindred.llm.ngram_jaccard import near_duplicates
+from kindred.llm.pitman_yor import perplexity_scores
 from kindred.llm.sharding import assign_shards
 from kindred.llm.substring_dedup import remove_repeats
 from kindred.llm.toxicity import FOLDS, toxicity
@@ -38,6 +40,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
 
 
+def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    scored = perplexity_scores(_table(spark, sf_dir, "documents"), fold != 2)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -46,6 +54,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "ring_shard", "hops")
 
 
+def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_column(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -64,5 +76,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_url_filter, op5_sharding, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_byte_bpe, op3_url_filter, op4_pitman_yor_scores, op5_sharding, op6_flac_media, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
