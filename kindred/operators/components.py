@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.stage import staged
+from kindred.plans.stage import Stages, release, staged
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -43,7 +43,8 @@ def star_forest(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        e = staged(small, "edges")
+        before_round, e = e, staged(small, "edges")
+        release(before_round)
         now = _mark(e)
         if now == before:
             return e
@@ -51,13 +52,16 @@ def star_forest(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -
     raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
 
 
-def connected_components(edges: DataFrame, left: str = "id1", right: str = "id2", nodes: DataFrame | None = None, node: str = "id") -> DataFrame:
+def connected_components(edges: DataFrame, left: str = "id1", right: str = "id2", nodes: DataFrame | None = None, node: str = "id", stages: Stages | None = None) -> DataFrame:
     """(id, component_id): the smallest id that each node reaches over the edges.
 
     Rows with a null end and self loops are ignored as edges. ``nodes`` adds isolated nodes, each its
-    own component; without it the result covers the ends of proper edges.
+    own component; without it the result covers the ends of proper edges. ``stages`` takes over the
+    table that the result reads.
     """
     star = star_forest(edges, left, right)
+    if stages is not None:
+        stages.tables.append(star)
     labelled = star.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = star.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     found = labelled.union(roots)

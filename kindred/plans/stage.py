@@ -40,4 +40,32 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     sc = spark.sparkContext
     atexit.register(_drop, sc._jvm, sc._jsc.hadoopConfiguration(), path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    # Shuffle files go when the JVM collects what refers to them; asking keeps the disk to living ones.
+    sc._jvm.System.gc()
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    _drop(sc._jvm, sc._jsc.hadoopConfiguration(), df.staged_path)
+
+
+class Stages:
+    """The intermediate tables of one operator: ``finish`` writes its result and deletes them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(staged(df, name))
+        return self.tables[-1]
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        for t in self.tables:
+            release(t)
+        self.tables.clear()
+        return out
