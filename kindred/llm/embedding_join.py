@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.ngram_jaccard import _forest
 from kindred.operators.components import connected_components
-from kindred.plans.stage import staged
+from kindred.plans.stage import Stages
 
 BLOCKS = 8
 TILE = 1024
@@ -128,6 +128,7 @@ def _pack(batches):
 
 def embedding_links(vectors: DataFrame, threshold: float = 0.93, blocks: int = BLOCKS, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``."""
+    stage = Stages()
     v = F.col("embedding")
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("embedding"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0)
@@ -135,20 +136,21 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, blocks: int = B
     base = base.withColumn("ok", F.coalesce(sound, F.lit(False))).withColumn("k1", F.xxhash64(F.lit(1), "label", "embedding")).withColumn("k2", F.xxhash64(F.lit(2), "label", "embedding"))
     good = base.where("ok")
     classes = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = staged(classes, "classes")
+    classes = stage(classes, "classes")
     rows = classes.select("label", "rep", "weight", "embedding").mapInArrow(_pack, "label string, rep long, weight long, vec binary").mapInArrow(
         _spread(threshold, blocks), "label string, dim int, block int, cell long, own boolean, rep long, weight long, vec binary"
     )
-    rows = staged(rows, "spread")
+    rows = stage(rows, "spread")
     sizes = rows.groupBy("label", "dim", "block", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("pieces"))
     cut = rows.join(sizes, ["label", "dim", "block", "cell"]).withColumn("piece", F.pmod(F.xxhash64("rep", "own"), F.col("pieces")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(F.least(k, F.col("piece")).alias("p"), F.greatest(k, F.col("piece")).alias("q")))
     tiles = cut.withColumn("tile", F.explode(meet)).select("label", "dim", "block", "cell", "own", "rep", "weight", "vec", "piece", F.col("tile.p").alias("p"), F.col("tile.q").alias("q"))
-    found = staged(tiles.groupBy("label", "dim", "block", "cell", "p", "q").applyInArrow(_tile(threshold, blocks), "rep long, other long, links long"), "links")
+    found = stage(tiles.groupBy("label", "dim", "block", "cell", "p", "q").applyInArrow(_tile(threshold, blocks), "rep long, other long, links long"), "links")
     counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.where("other is not null"), "rep", "other").withColumnRenamed("id", "rep")
+    groups = connected_components(found.where("other is not null"), "rep", "other", stages=stage).withColumnRenamed("id", "rep")
     per_class = classes.select("k1", "k2", "rep", "weight").join(counts, "rep", "left").join(groups, "rep", "left")
     per_class = per_class.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component_id", "rep").alias("c"))
     out = base.select("vec_id", "ok", "k1", "k2").join(per_class, ["k1", "k2"], "left")
     comp = F.when(F.col("ok"), F.coalesce("c", "vec_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("ok"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))
+    result = out.select("vec_id", F.when(F.col("ok"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))
+    return stage.finish(result, "linked")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.text import U, Words, grams, mix, runs, signed, spans
 from kindred.operators.components import connected_components
-from kindred.plans.stage import staged
+from kindred.plans.stage import Stages
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -257,16 +257,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included; n_linked_texts: different shingle sets linked directly; n_copies: other documents with
     the same set; kept: doc_id = class_id.
     """
-    spark = docs.sparkSession
+    stage = Stages()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = base.where(F.col("doc_id").isNotNull())
-    sigs = staged(known.mapInArrow(_documents, "doc_id long, k1 long, k2 long, n_shingles int, sig binary"), "sigs")
+    sigs = stage(known.mapInArrow(_documents, "doc_id long, k1 long, k2 long, n_shingles int, sig binary"), "sigs")
     classes = sigs.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("sig").alias("sig"))
-    classes = staged(classes, "classes")
+    classes = stage(classes, "classes")
 
     bands = classes.select("rep", "sig").mapInArrow(_bands, "band long, rep long")
     shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("top")).where("n > 1")
-    members = staged(bands.join(shared.select("band", "n", "hub"), "band"), "members")
+    members = stage(bands.join(shared.select("band", "n", "hub"), "band"), "members")
     few = members.where(F.col("n") <= SMALL).select("band", "rep")
     pairs = few.select("band", F.col("rep").alias("id1")).join(few.select("band", F.col("rep").alias("id2")), "band").where("id1 < id2").select("id1", "id2").distinct()
     sig = classes.select("rep", "sig")
@@ -276,8 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .mapInArrow(_pruned(threshold), "id1 long, id2 long")
     )
     tied = members.where(F.col("n") > SMALL).select(F.col("hub").alias("id1"), F.col("rep").alias("id2")).where("id1 < id2").distinct()
-    comps = connected_components(pairs.union(tied)).select(F.col("id").alias("rep"), F.col("component_id").alias("comp"))
-    comps = staged(comps, "comps")
+    comps = connected_components(pairs.union(tied), stages=stage).select(F.col("id").alias("rep"), F.col("component_id").alias("comp"))
+    comps = stage(comps, "comps")
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
     total = comps.count()
     packs = max(1, total // TILE)
@@ -291,14 +291,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets.drop("k1")
     meet = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda x: F.struct(F.least(x, F.col("piece")).alias("p"), F.greatest(x, F.col("piece")).alias("q")))
     tiles = sets.withColumn("tile", F.explode(meet)).select("rep", "weight", "piece", "comp", F.col("tile.p").alias("p"), F.col("tile.q").alias("q"), "shingles")
-    found = staged(tiles.groupBy("comp", "p", "q").applyInArrow(_tile(threshold), "rep long, other long, links long, texts long"), "links")
+    found = stage(tiles.groupBy("comp", "p", "q").applyInArrow(_tile(threshold), "rep long, other long, links long, texts long"), "links")
 
     counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    grouped = connected_components(found.where("other is not null"), "rep", "other").select(F.col("id").alias("rep"), F.col("component_id").alias("class_id"))
+    grouped = connected_components(found.where("other is not null"), "rep", "other", stages=stage).select(F.col("id").alias("rep"), F.col("component_id").alias("class_id"))
     per_class = classes.select("k1", "k2", "rep", "weight").join(counts, "rep", "left").join(grouped, "rep", "left")
     per_class = per_class.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_linked_texts"), (F.col("weight") - 1).alias("n_copies"), F.coalesce("class_id", "rep").alias("class_id"))
     with_class = sigs.select("doc_id", "k1", "k2").join(per_class, ["k1", "k2"]).drop("k1", "k2")
     alone = base.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     zero = F.lit(0).cast("long")
     alone = alone.select("doc_id", zero.alias("n_links"), zero.alias("n_linked_texts"), zero.alias("n_copies"), F.col("doc_id").alias("class_id"))
-    return with_class.unionByName(alone).select("doc_id", "class_id", "n_links", "n_linked_texts", "n_copies", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    result = with_class.unionByName(alone).select("doc_id", "class_id", "n_links", "n_linked_texts", "n_copies", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return stage.finish(result, "near")

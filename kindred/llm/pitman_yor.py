@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.text import U, Words, mix, runs, signed
-from kindred.plans.stage import staged
+from kindred.plans.stage import release, staged
 
 ORDER = 6
 KEPT = 1 << 22
@@ -252,6 +252,7 @@ def train(texts: DataFrame) -> list[dict]:
         ctx = contexts.where(F.col("top") >= least).toPandas()
         got, ctx = got.sort_values("key"), ctx.sort_values("key")
         levels.append(Level(got["key"].to_numpy().astype(U), got["n"].to_numpy(), ctx["key"].to_numpy().astype(U), ctx["n"].to_numpy().astype(float), levels[-1] if levels else None, DISCOUNT[n - 1]))
+    release(grams)
     return sample_model(levels)
 
 

@@ -11,7 +11,7 @@ sequence also starts in a document with a smaller id is removed; windows are jud
    as more segments of one size, and no task or driver ever holds it all.
 3. Second pass: each run of windows with one anchor meets its segment's sketch in a join; runs whose
    estimate is below two are dropped. The estimate never falls short, so no repeated window is lost.
-4. What is left is grouped exactly by a 128-bit hash of the whole word sequence.
+4. What is left is grouped exactly by a 96-bit hash of the whole word sequence.
 
 Whole copies are settled beforehand by SHA-256 of their words; only the first of them is searched.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.text import U, Words, grams, mix, runs, signed, spans
-from kindred.plans.stage import staged
+from kindred.plans.stage import Stages
 
 ANCHOR = 20
 CELLS = 4096
@@ -164,7 +164,7 @@ def _occurrences(width: int, segments: int):
 
 
 def _windows(width: int):
-    """128-bit hashes of the windows in each document's flagged runs."""
+    """96-bit hashes of the windows in each document's flagged runs."""
 
     def scan(batches):
         for batch in batches:
@@ -177,7 +177,7 @@ def _windows(width: int):
                     own = flagged[w.lo + k].values
                     at = np.concatenate([np.arange(s, s + n) for s, n in zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True)])
                     one = signed(mix(spans(h[a:b], at, at + width, 0xC2B2AE3D27D4EB4F)))
-                    two = signed(mix(spans(h2[a:b], at, at + width, 0x165667B19E3779F9)))
+                    two = (mix(spans(h2[a:b], at, at + width, 0x165667B19E3779F9)) >> U(32)).astype(np.uint32).view(np.int32)
                     m = len(at)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(one), pa.array(two), pa.array(np.full(m, owner[w.lo + k])), pa.array(np.full(m, rid[w.lo + k])), pa.array(at, pa.int32())],
@@ -218,11 +218,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words; it is null where nothing was removed (the text stands) and empty where all words went.
     ``rid`` is a hash of id and text that joins the result with its documents.
     """
-    spark = docs.sparkSession
+    stage = Stages()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("rid", F.xxhash64("doc_id", "text"))
 
-    facts = staged(base.mapInArrow(_facts, "doc_id long, rid long, n_words long, all_sha string"), "facts")
+    facts = stage(base.mapInArrow(_facts, "doc_id long, rid long, n_words long, all_sha string"), "facts")
     order = F.coalesce("doc_id", F.lit(_LAST))
     size = facts.agg(F.sum("n_words")).first()[0] or 0
     long_enough = facts.where(F.col("n_words") >= width).select("rid", "all_sha", order.alias("doc"))
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments = max(1, math.ceil(expected * ROOM / CELLS))
     texts = base.where(F.octet_length("text") >= 2 * width - 1)
     sketch = texts.select("text").mapInArrow(_sketch(width, segments), "segment long, part binary").groupBy("segment").applyInArrow(_merge, "segment long, sketch binary")
-    sketch = staged(sketch, "sketch")
+    sketch = stage(sketch, "sketch")
     seen = texts.select("rid", "text").mapInArrow(_occurrences(width, segments), "segment long, c0 int, c1 int, rid long, at int, length int")
     twice = F.lit(b"\x02")
     runs_ = (
@@ -244,16 +244,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("rid")
         .agg(F.collect_set(F.struct("at", "length")).alias("runs"))
     )
-    suspects = runs_.join(first, "rid")
-    suspects = staged(base.join(suspects, "rid").dropDuplicates(["rid"]), "suspects")
+    # Each step is written before the next, so that the shuffles of only one are on disk.
+    marked = stage(runs_.join(first, "rid"), "marked")
+    suspects = stage(base.join(marked, "rid").dropDuplicates(["rid"]), "suspects")
 
-    windows = suspects.mapInArrow(_windows(width), "h1 long, h2 long, doc long, rid long, at int")
+    windows = suspects.mapInArrow(_windows(width), "h1 long, h2 int, doc long, rid long, at int")
     first_doc = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2", "low")
     gone = windows.join(first_doc, ["h1", "h2"]).where("doc > low").groupBy("rid").agg(F.collect_list("at").alias("gone"))
+    gone = stage(gone, "gone")
     cut = suspects.select("rid", "text").join(gone, "rid").mapInArrow(_cut(width), "rid long, n_removed long, kept_sha256 string, kept string")
+    cut = stage(cut, "cut")
 
     whole = copies.select("rid", F.lit(True).alias("copy"))
-    return (
+    result = (
         facts.join(whole, "rid", "left")
         .join(cut, "rid", "left")
         .select(
@@ -265,3 +268,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept"),
         )
     )
+    return stage.finish(result, "repeats")

@@ -23,7 +23,16 @@ _LOWER[65:91] += 32
 _OTHER = np.ones(256, bool)
 _OTHER[65:91] = _OTHER[97:123] = _OTHER[128:] = False
 _BASE = U(0x9E3779B97F4A7C15 | 1)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class _Cache(dict):
+    """A dict that travels to workers empty."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = _Cache()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

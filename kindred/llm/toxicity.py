@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.text import U, Words, mix, runs, signed, spans
-from kindred.plans.stage import staged
+from kindred.plans.stage import release, staged
 
 FIT_ROWS = 16384
 STEMS = (4, 5, 6)
@@ -183,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
     order = np.argsort(table)
     table, strength = table[order], strength[order]
     got = sample.mapInArrow(_rows(table, insults, address), "toxic double, patterns int, features binary").collect()
+    release(sample)
     y = np.array([r["toxic"] for r in got])
     rows = [np.frombuffer(r["features"], "<u2") for r in got]
     pattern = np.array([[r["patterns"] >> k & 1 for k in range(_PATTERNS)] for r in got], bool).reshape(len(got), _PATTERNS)
