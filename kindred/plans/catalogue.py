@@ -2,5 +2,208 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.functions import text as tx
+from kindred.operators import blocking, evaluation, scoring
+from kindred.operators.components import connected_components
+from kindred.plans.stage import staged
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(x: Column | str, name: str) -> Column:
+    return F.round(x if isinstance(x, Column) else F.col(x), 6).alias(name)
+
+
+_TOK = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) >= 2))"
+_CAND = f"""tok AS (SELECT doc_id, unnest({_TOK}) AS k FROM documents),
+ df AS (SELECT k FROM tok GROUP BY k HAVING count(*) BETWEEN 2 AND 20),
+ tk AS (SELECT t.doc_id, t.k FROM tok t JOIN df USING (k)),
+ cand AS (SELECT DISTINCT a.doc_id AS id1, b.doc_id AS id2 FROM tk a JOIN tk b ON a.k = b.k AND a.doc_id < b.doc_id)"""
+_JUDGED = f"""{_CAND},
+ tl AS (SELECT doc_id, {_TOK} AS ts, lang, source, left(text, 24) AS p, n_chars FROM documents),
+ f AS (SELECT id1, id2, CASE WHEN len(list_intersect(a.ts, b.ts)) / CAST(len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts)) AS DOUBLE) >= 0.8 THEN 1 ELSE 0 END AS label,
+  [CASE WHEN a.lang = b.lang THEN 'same_lang' ELSE 'different_lang' END, CASE WHEN a.source = b.source THEN 'same_source' ELSE 'different_source' END,
+   CASE WHEN a.p = b.p THEN 'same_prefix' ELSE 'different_prefix' END,
+   CASE WHEN abs(a.n_chars - b.n_chars) <= 0.05 * greatest(a.n_chars, b.n_chars) THEN 'len_close' WHEN abs(a.n_chars - b.n_chars) <= 0.2 * greatest(a.n_chars, b.n_chars) THEN 'len_near' ELSE 'len_far' END] AS js
+  FROM cand JOIN tl a ON id1 = a.doc_id JOIN tl b ON id2 = b.doc_id),
+ tot AS (SELECT sum(label) AS m, sum(1 - label) AS n FROM f),
+ w AS (SELECT j, sum(label) AS nm, sum(1 - label) AS nn FROM (SELECT label, unnest(js) AS j FROM f) GROUP BY j),
+ ww AS (SELECT j, nm, nn, greatest(-5.0, least(5.0, ln(((nm + 1) / CAST(m + 2 AS DOUBLE)) / ((nn + 1) / CAST(n + 2 AS DOUBLE))))) AS wt FROM w, tot),
+ sc AS (SELECT id1, id2, label, 1 / (1 + exp(-(sum(wt) + ln((m / CAST(m + n AS DOUBLE)) / (1 - m / CAST(m + n AS DOUBLE)))))) AS score FROM (SELECT id1, id2, label, unnest(js) AS j FROM f) JOIN ww USING (j), tot GROUP BY id1, id2, label, m, n)"""
+_CONF = "sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN score < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN score < 0.5 AND label = 0 THEN 1 ELSE 0 END) AS tn"
+
+
+def _candidates(docs: DataFrame) -> DataFrame:
+    return blocking.pairs_in_blocks(blocking.token_keys(docs, "doc_id", F.col("text")), 20)
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    side = docs.select("doc_id", F.transform(tx.tokens(F.col("text")), F.xxhash64).alias("ts"), "lang", "source", F.substring("text", 1, 24).alias("p"), "n_chars")
+    a, b = (side.select(F.col("doc_id").alias(f"id{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("ts", "lang", "source", "p", "n_chars"))) for k in (1, 2))
+    gap, most = F.abs(F.col("n_chars1") - F.col("n_chars2")), F.greatest("n_chars1", "n_chars2")
+    same = [scoring.same_or_different(n, F.col(f"{c}1"), F.col(f"{c}2")) for n, c in (("lang", "lang"), ("source", "source"), ("prefix", "p"))]
+    length = F.when(gap <= 0.05 * most, "len_close").when(gap <= 0.2 * most, "len_near").otherwise("len_far")
+    label = F.when(tx.jaccard(F.col("ts1"), F.col("ts2")) >= 0.8, 1).otherwise(0)
+    pairs = _candidates(docs).join(a, "id1").join(b, "id2")
+    # Read several times (weights, prior, scores), so written once.
+    return staged(pairs.select("id1", "id2", label.alias("label"), F.array_compact(F.array(*same, length)).alias("judgments")), "judged")
+
+
+@query(f"WITH {_JUDGED}, c AS (SELECT {_CONF} FROM sc) SELECT tp, fp, fn, tn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy FROM c")
+def llr_match_eval(spark, d):
+    judged = _judged(spark, d)
+    m = scoring.confusion(scoring.judgment_scores(judged, scoring.judgment_weights(judged), judged))
+    return m.select("tp", "fp", "fn", "tn", *(_r(c, c) for c in ("precision", "recall", "f1", "accuracy")))
+
+
+@query(f"WITH {_JUDGED} SELECT j AS judgment, nm AS n_match, nn AS n_non, round(wt, 6) AS weight FROM ww")
+def llr_weights(spark, d):
+    return scoring.judgment_weights(_judged(spark, d)).select("judgment", "n_match", "n_non", _r("weight", "weight"))
+
+
+@query(f"WITH {_JUDGED} SELECT id1, id2, label, round(score, 6) AS score FROM sc")
+def llr_scores(spark, d):
+    judged = _judged(spark, d)
+    return scoring.judgment_scores(judged, scoring.judgment_weights(judged), judged).select("id1", "id2", "label", _r("score", "score"))
+
+
+@query(f"WITH {_CAND} SELECT id1, id2 FROM cand")
+def token_block_pairs(spark, d):
+    return _candidates(_t(spark, d, "documents"))
+
+
+@query(f"WITH tok AS (SELECT unnest({_TOK}) AS key FROM documents) SELECT n, count(*) AS n_blocks FROM (SELECT key, count(*) AS n FROM tok GROUP BY key) GROUP BY n")
+def token_block_stats(spark, d):
+    return blocking.block_sizes(blocking.token_keys(_t(spark, d, "documents"), "doc_id", F.col("text"))).groupBy("n").agg(F.count("*").alias("n_blocks"))
+
+
+@query("WITH k AS (SELECT p_partkey AS id, substr(lower(p_name), 1, 2) || '|' || CAST(CAST(floor(p_size / 5.0) AS BIGINT) AS VARCHAR) AS key FROM part) SELECT a.key, count(*) AS n_pairs FROM k a JOIN k b ON a.key = b.key AND a.id < b.id GROUP BY a.key")
+def prefix_block_pairs(spark, d):
+    sizes = blocking.block_sizes(blocking.prefix_keys(_t(spark, d, "part"), "p_partkey", F.col("p_name"), F.col("p_size")))
+    return sizes.where("n > 1").select("key", F.expr("n * (n - 1) div 2").alias("n_pairs"))
+
+
+@query("WITH g AS (SELECT c_custkey AS id, r_name AS r, n_name AS n, c_mktsegment AS s FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT key, count(*) AS n FROM (SELECT id, unnest([r, r || '|' || n, r || '|' || n || '|' || s]) AS key FROM g) GROUP BY key")
+def geo_prefix_blocks(spark, d):
+    nation = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = _t(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return blocking.block_sizes(blocking.hierarchy_keys(people, "c_custkey", [F.col("r_name"), F.col("n_name"), F.col("c_mktsegment")]))
+
+
+@query(f"WITH {_CAND}, tr AS (SELECT a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id), x AS (SELECT (SELECT count(*) FROM cand) AS n_candidates, (SELECT count(*) FROM tr) AS n_true, (SELECT count(*) FROM cand JOIN tr USING (id1, id2)) AS n_captured, (SELECT count(*) FROM documents) AS n) SELECT n_candidates, n_true, n_captured, round(n_captured / CAST(n_true AS DOUBLE), 6) AS recall, round(1 - n_candidates / (n * (n - 1) / 2.0), 6) AS reduction_ratio FROM x")
+def blocking_recall(spark, d):
+    docs = _t(spark, d, "documents")
+    truth = truth_pairs(spark, d)
+    q = blocking.blocking_quality(_candidates(docs), truth, F.lit(docs.count()))
+    return q.select("n_candidates", "n_true", "n_captured", _r("recall", "recall"), _r("reduction_ratio", "reduction_ratio"))
+
+
+@query("SELECT a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id")
+def truth_pairs(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
+    return docs.select("k", F.col("doc_id").alias("id1")).join(docs.select("k", F.col("doc_id").alias("id2")), "k").where("id1 < id2").select("id1", "id2")
+
+
+@query("SELECT a.n_name AS n1, b.n_name AS n2 FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def allpairs_small(spark, d):
+    n = _t(spark, d, "nation")
+    a, b = n.select(F.col("n_nationkey").alias("k1"), F.col("n_name").alias("n1")), n.select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("n2"))
+    return a.join(F.broadcast(b), F.col("k1") < F.col("k2")).select("n1", "n2")  # 25 nations
+
+
+@query("SELECT CASE WHEN year(o_orderdate) < 1994 THEN 'train' WHEN year(o_orderdate) <= 1996 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1")
+def temporal_split_counts(spark, d):
+    y = F.year("o_orderdate")
+    return _t(spark, d, "orders").groupBy(F.when(y < 1994, "train").when(y <= 1996, "val").otherwise("test").alias("split")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS id, concat_ws(' ', nullif(trim(p_name), ''), nullif(trim(p_brand), ''), nullif(trim(p_type), ''), 'size:' || p_size) AS text FROM part")
+def record_text(spark, d):
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", *(tx.clean(F.col(c)) for c in ("p_name", "p_brand", "p_type")), F.concat(F.lit("size:"), F.col("p_size").cast("string"))).alias("text"))
+
+
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS id1, greatest(l_partkey, l_suppkey) AS id2 FROM lineitem WHERE l_partkey <> l_suppkey")
+def edge_canonical(spark, d):
+    a, b = F.col("l_partkey"), F.col("l_suppkey")
+    return _t(spark, d, "lineitem").where(a != b).select(F.least(a, b).alias("id1"), F.greatest(a, b).alias("id2")).distinct()
+
+
+_EXACT = "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS component_id FROM documents"
+
+
+@query(_EXACT)
+def connected_components_exact(spark, d):
+    edges = truth_pairs(spark, d)
+    return connected_components(edges, nodes=_t(spark, d, "documents"), node="doc_id")
+
+
+@query(f"WITH c AS (SELECT component_id, count(*) AS size FROM ({_EXACT}) GROUP BY 1) SELECT row_number() OVER (ORDER BY size DESC, component_id) - 1 AS cluster_id, size, component_id AS smallest FROM c")
+def dsu_stable_ids(spark, d):
+    return evaluation.stable_cluster_ids(connected_components_exact(spark, d))
+
+
+@query("WITH e AS (SELECT c_custkey AS id, c_nationkey AS pred, c_mktsegment AS tr FROM customer), c AS (SELECT pred, tr, count(*) AS n FROM e GROUP BY 1, 2), p AS (SELECT pred, sum(n) AS np FROM c GROUP BY 1), t AS (SELECT tr, sum(n) AS nt FROM c GROUP BY 1), z AS (SELECT count(*) AS total FROM e), x AS (SELECT sum(n * (n - 1) / 2.0) AS sij, sum(CAST(n * n AS DOUBLE) / np) AS bp, sum(CAST(n * n AS DOUBLE) / nt) AS br, sum(n / CAST(total AS DOUBLE) * ln(CAST(n * total AS DOUBLE) / (np * nt))) AS mi FROM c JOIN p USING (pred) JOIN t USING (tr), z), y AS (SELECT sum(np * (np - 1) / 2.0) AS sp, -sum(np / CAST(total AS DOUBLE) * ln(np / CAST(total AS DOUBLE))) AS hp FROM p, z), v AS (SELECT sum(nt * (nt - 1) / 2.0) AS st, -sum(nt / CAST(total AS DOUBLE) * ln(nt / CAST(total AS DOUBLE))) AS ht FROM t, z) SELECT round((sij - sp * st / (total * (total - 1) / 2.0)) / ((sp + st) / 2 - sp * st / (total * (total - 1) / 2.0)), 6) AS ari, round(mi / sqrt(hp * ht), 6) AS nmi, round(bp / total, 6) AS b3_precision, round(br / total, 6) AS b3_recall, round(2 * (bp / total) * (br / total) / (bp / total + br / total), 6) AS b3_f1 FROM x, y, v, z")
+def clustering_eval(spark, d):
+    m = evaluation.clustering_metrics(_t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("pred"), F.col("c_mktsegment").alias("true")))
+    return m.select(*(_r(c, c) for c in m.columns))
+
+
+@query(f"WITH {_JUDGED}, r AS (SELECT round(score, 9) AS s, label FROM sc), b AS (SELECT s, sum(label) AS pos, sum(1 - label) AS neg FROM r GROUP BY s), c AS (SELECT pos, neg, sum(neg) OVER (ORDER BY s) - neg AS below FROM b) SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM c")
+def auc_ties_averaged(spark, d):
+    judged = _judged(spark, d)
+    scored = scoring.judgment_scores(judged, scoring.judgment_weights(judged), judged).withColumn("score", F.round("score", 9))
+    return evaluation.roc_auc(scored).select(_r("auc", "auc"))
+
+
+@query("WITH e AS (SELECT l_partkey AS a FROM lineitem UNION ALL SELECT l_suppkey + 1000000000 FROM lineitem) SELECT a AS id, count(*) AS degree FROM e GROUP BY a ORDER BY degree DESC, id LIMIT 50")
+def degree_prune(spark, d):
+    return evaluation.degree_top_k(_t(spark, d, "lineitem").select(F.col("l_partkey").alias("id1"), (F.col("l_suppkey") + 1000000000).alias("id2")), 50)
+
+
+@query("SELECT o_orderpriority AS grp, k, n, round((k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((k / n + 1.9208 / n + 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high FROM (SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1)")
+def wilson_intervals(spark, d):
+    c = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("k"), F.count("*").cast("double").alias("n"))
+    low, high = tx.wilson(F.col("k"), F.col("n"))
+    return c.select("grp", "k", "n", _r(low, "low"), _r(high, "high"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n_records, count(DISTINCT user_id) AS n_users, round(100.0 * sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / count(*), 2) AS rate FROM events GROUP BY 1")
+def coverage(spark, d):
+    hit = F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0))
+    return _t(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n_records"), F.countDistinct("user_id").alias("n_users"), F.round(100.0 * hit / F.count("*"), 2).alias("rate"))
+
+
+@query("WITH n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), t AS (SELECT sum(n) AS total FROM n) SELECT count(*) AS distinct_names, round(-sum(n / total * log2(n / total + 1e-10)), 6) AS entropy FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(total AS DOUBLE) AS total FROM n, t)")
+def ambiguity_entropy(spark, d):
+    n = _t(spark, d, "part").groupBy("p_name").agg(F.count("*").cast("double").alias("n"))
+    p = F.col("n") / F.col("total")
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).agg(F.count("*").alias("distinct_names"), _r(-F.sum(p * F.log2(p + 1e-10)), "entropy"))
+
+
+@query("SELECT size, count(*) AS n FROM (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1) GROUP BY size")
+def cluster_size_distribution(spark, d):
+    return _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment AS grp, count(*) AS n, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std, min(c_acctbal) AS low, round(quantile_cont(c_acctbal, 0.5), 6) AS median, max(c_acctbal) AS high FROM customer GROUP BY 1")
+def describe_numeric(spark, d):
+    x = F.col("c_acctbal")
+    return _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.count("*").alias("n"), _r(F.avg(x), "mean"), _r(F.stddev_samp(x), "std"), F.min(x).alias("low"), _r(F.percentile(x, 0.5), "median"), F.max(x).alias("high"))
