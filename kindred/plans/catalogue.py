@@ -56,7 +56,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
-    side = docs.select("doc_id", F.transform(tx.tokens(F.col("text")), F.xxhash64).alias("ts"), "lang", "source", F.substring("text", 1, 24).alias("p"), "n_chars")
+    side = docs.select("doc_id", F.transform(tx.tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("ts"), "lang", "source", F.substring("text", 1, 24).alias("p"), "n_chars")
     a, b = (side.select(F.col("doc_id").alias(f"id{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("ts", "lang", "source", "p", "n_chars"))) for k in (1, 2))
     gap, most = F.abs(F.col("n_chars1") - F.col("n_chars2")), F.greatest("n_chars1", "n_chars2")
     same = [scoring.same_or_different(n, F.col(f"{c}1"), F.col(f"{c}2")) for n, c in (("lang", "lang"), ("source", "source"), ("prefix", "p"))]
