@@ -215,27 +215,48 @@ def sample_model(levels: list[Level], seed: int = 42) -> list[dict]:
             for i, lv in enumerate(levels):
                 lv.refresh()
                 kept[i].append((lv.p, lv.gamma))
-    return [
-        {"keys": lv.keys, "p": np.stack([p for p, _ in k], 1).astype(np.float32), "contexts": lv.contexts, "gamma": np.stack([g for _, g in k], 1).astype(np.float32)}
-        for lv, k in zip(levels, kept, strict=True)
-    ]
+    out = []
+    for lv, k in zip(levels, kept, strict=True):
+        keys, contexts = lv.keys.byteswap(), lv.contexts.byteswap()
+        by_key, by_ctx = np.argsort(keys), np.argsort(contexts)
+        p, gamma = ([x[0][by_key].astype(np.float32) for x in k], [x[1][by_ctx].astype(np.float32) for x in k])
+        out.append({"keys": keys[by_key], "p": p, "contexts": contexts[by_ctx], "gamma": gamma})
+    return out
+
+
+def _first_bytes(n: int) -> np.uint64:
+    return U(((1 << 8 * n) - 1) << 8 * (8 - n))
 
 
 def probabilities(model: list[dict], keys: np.ndarray) -> np.ndarray:
-    """Averaged predictive probability of the last byte of each key after the others."""
-    p = np.full((len(keys), SAMPLES), 1 / 256)
+    """Averaged predictive probability of the last byte of each n-gram after the others.
+
+    ``keys`` are byte-swapped, as in the model: the predicted byte comes first, then its context from the
+    nearest byte on, so sorted keys walk through the tables in order. A context (or dish) that one
+    level lacks is missing in all longer ones, since counts only fall; it is not searched there.
+    """
+    p = [np.full(len(keys), 1 / 256) for _ in range(SAMPLES)]
+    alive, seen = np.arange(len(keys)), np.ones(len(keys), bool)
+    here = keys
     for n, lv in enumerate(model, 1):
         if not len(lv["keys"]):
             break
-        own = keys & U((1 << 8 * n) - 1)
-        ctx = own >> U(8)
+        ctx = (here << U(8)) & _first_bytes(n - 1)
         at = np.minimum(np.searchsorted(lv["contexts"], ctx), len(lv["contexts"]) - 1)
-        known = lv["contexts"][at] == ctx
-        p[known] *= lv["gamma"][at[known]]
-        at = np.minimum(np.searchsorted(lv["keys"], own), len(lv["keys"]) - 1)
-        seen = lv["keys"][at] == own
-        p[seen] = lv["p"][at[seen]]
-    return p.mean(1)
+        known = np.flatnonzero(lv["contexts"][at] == ctx)
+        alive, seen, here, at = alive[known], seen[known], here[known], at[known]
+        some = np.flatnonzero(seen)
+        own = here[some] & _first_bytes(n)
+        dish = np.minimum(np.searchsorted(lv["keys"], own), len(lv["keys"]) - 1)
+        hit = lv["keys"][dish] == own
+        seen[some[~hit]] = False
+        target, dish = alive[some[hit]], dish[hit]
+        away = np.flatnonzero(~seen)
+        missed, at = alive[away], at[away]
+        for each, of_dish, back_off in zip(p, lv["p"], lv["gamma"], strict=True):
+            each[target] = of_dish[dish]
+            each[missed] *= back_off[at]
+    return sum(p) / SAMPLES
 
 
 def train(texts: DataFrame) -> list[dict]:
@@ -282,7 +303,7 @@ def perplexity_scores(docs: DataFrame, trained: Column, id_col: str = "doc_id",
         for batch in batches:
             for w in runs(batch.column("text"), lower=True):
                 stream, doc_at = letters(w)
-                u, code = np.unique(ngrams(stream, doc_at), return_inverse=True)
+                u, code = np.unique(ngrams(stream, doc_at).byteswap(), return_inverse=True)
                 logs = np.log10(probabilities(model, u))[code]
                 h, doc = signed(w.hashes()), w.doc_of_word()
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
