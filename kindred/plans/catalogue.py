@@ -47,7 +47,7 @@ _JUDGED = f"""{_CAND},
  w AS (SELECT j, sum(label) AS nm, sum(1 - label) AS nn FROM (SELECT label, unnest(js) AS j FROM f) GROUP BY j),
  ww AS (SELECT j, nm, nn, greatest(-5.0, least(5.0, ln(((nm + 1) / CAST(m + 2 AS DOUBLE)) / ((nn + 1) / CAST(n + 2 AS DOUBLE))))) AS wt FROM w, tot),
  sc AS (SELECT id1, id2, label, 1 / (1 + exp(-(sum(wt) + ln((m / CAST(m + n AS DOUBLE)) / (1 - m / CAST(m + n AS DOUBLE)))))) AS score FROM (SELECT id1, id2, label, unnest(js) AS j FROM f) JOIN ww USING (j), tot GROUP BY id1, id2, label, m, n)"""
-_CONF = "sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN score < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN score < 0.5 AND label = 0 THEN 1 ELSE 0 END) AS tn"
+_CONF = "CAST(sum(CASE WHEN score >= 0.5 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN score >= 0.5 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN score < 0.5 AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN score < 0.5 AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn"
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def llr_match_eval(spark, d):
     return m.select("tp", "fp", "fn", "tn", *(_r(c, c) for c in ("precision", "recall", "f1", "accuracy")))
 
 
-@query(f"WITH {_JUDGED} SELECT j AS judgment, nm AS n_match, nn AS n_non, round(wt, 6) AS weight FROM ww")
+@query(f"WITH {_JUDGED} SELECT j AS judgment, CAST(nm AS BIGINT) AS n_match, CAST(nn AS BIGINT) AS n_non, round(wt, 6) AS weight FROM ww")
 def llr_weights(spark, d):
     return scoring.judgment_weights(_judged(spark, d)).select("judgment", "n_match", "n_non", _r("weight", "weight"))
 
