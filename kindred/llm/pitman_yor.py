@@ -8,12 +8,14 @@ sampled by Gibbs: a customer of each dish leaves (closing its table if it sat al
 the ratio of generalised Stirling numbers) and sits down again at an occupied or a new table.
 Predictive probabilities are averaged over SAMPLES seatings.
 
-Size. Byte n-grams are counted over all training texts. Dishes seen in less than a share 1 / KEPT of
-all positions are not seated in restaurants of three and more bytes: their customers go
-straight to the parent, so the distributions still add up to one. There are hence at most KEPT dishes a level, at
-every size of corpus, and the seating fits the driver and a broadcast. Word counts for the
-baseline are exact and stay distributed; only words with a share of at least 1 / KEPT_WORDS of all tokens
-are broadcast, the others are joined.
+Size. Every byte n-gram of the training texts is seated, however rare and however large the corpus. The
+restaurants of the first HEAD lengths (contexts of up to HEAD - 1 bytes: at most 256**HEAD dishes) are
+sampled on the driver; those of longer contexts are dealt over the cluster by the HEAD bytes of context
+next to the predicted one, so a partition holds whole branches of the tree. Blocks are sampled in turn:
+branches given the head's probabilities, the head given the tables that the branches send it, branches again.
+The last turn writes one table with the averaged log10 probability of each n-gram of the corpus. Texts are
+scored by joining it. Only n-grams with a share of at least 1 / KEPT of all positions (and words with 1 /
+KEPT_WORDS of all tokens) are broadcast, all others are joined; word counts for the baseline are exact.
 
 Null and empty texts are one end. Rows are scored one by one; equal ids may repeat.
 """
@@ -29,7 +31,9 @@ from kindred.llm.text import U, Words, mix, runs, signed
 from kindred.plans.stage import release, staged
 
 ORDER = 6
+HEAD = 3
 KEPT = 1 << 22
+BRANCH_ROWS = 1 << 19
 KEPT_WORDS = 1 << 20
 STRENGTH = 1.0
 DISCOUNT = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8)
@@ -64,10 +68,14 @@ def ngrams(stream: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
 
 
 def _count_ngrams(batches):
+    """n-grams of ORDER bytes with counts; the bit above them marks those of training texts."""
     held, counts, size = [], [], 0
     for batch in batches:
+        trained = batch.column("trained").to_numpy(zero_copy_only=False).astype(U)
         for w in runs(batch.column("text"), lower=True):
-            u, n = np.unique(ngrams(*letters(w)), return_counts=True)
+            stream, doc_at = letters(w)
+            mark = np.repeat(trained[w.lo : w.lo + w.n_docs] << U(8 * ORDER), np.diff(doc_at))
+            u, n = np.unique(ngrams(stream, doc_at) | mark, return_counts=True)
             held.append(u)
             counts.append(n)
             size += len(u)
@@ -107,32 +115,25 @@ def _count_words(batches):
 
 
 class Level:
-    """All restaurants of one context length: dishes sorted by context and byte."""
+    """All restaurants of one context length: dishes sorted by context and byte.
 
-    def __init__(self, keys: np.ndarray, raw: np.ndarray, contexts: np.ndarray, totals: np.ndarray, below: Level | None, d: float):
-        self.keys, self.raw, self.d = keys, raw.astype(np.float64), d
+    The customers of a dish are the tables of its longer n-grams, or ``fixed`` where no level is above. The
+    lowest level here takes its base probabilities from ``outer``.
+    """
+
+    def __init__(self, keys: np.ndarray, width: int, below: Level | None, fixed: np.ndarray | None = None):
+        self.keys, self.width, self.d, self.fixed = keys, width, DISCOUNT[width - 1], fixed
         self.contexts, self.ctx = np.unique(keys >> U(8), return_inverse=True)
-        at = np.searchsorted(contexts, self.contexts)
-        self.direct = totals[at] - np.bincount(self.ctx, weights=self.raw, minlength=len(self.contexts))
-        self.below, self.above = below, None
+        self.below, self.above, self.outer = below, None, np.full(len(keys), 1 / 256)
+        self.t = np.ones(len(keys))
         if below is not None:
-            mask = U((1 << 8 * (below.width)) - 1)
-            self.width = below.width + 1
-            self.parent = np.searchsorted(below.keys, keys & mask)
+            self.parent = np.searchsorted(below.keys, keys & _low(below.width))
             below.above = self
-        else:
-            self.width = 1
-
-    def start(self) -> None:
-        self.own = self.raw.copy()
-        if self.above is not None:
-            self.own -= np.bincount(self.above.parent, weights=self.above.raw, minlength=len(self.raw))
-        self.t = np.ones(len(self.raw))
 
     def customers(self) -> np.ndarray:
         if self.above is None:
-            return self.own
-        return self.own + np.bincount(self.above.parent, weights=self.above.t, minlength=len(self.raw))
+            return self.fixed.astype(np.float64)
+        return np.bincount(self.above.parent, weights=self.above.t, minlength=len(self.keys))
 
     def refresh(self) -> None:
         """Counts, tables by restaurant, back-off weights and probabilities of the current seating."""
@@ -140,12 +141,26 @@ class Level:
         self.t = np.minimum(self.t, self.c)
         n = len(self.contexts)
         self.tables = np.bincount(self.ctx, weights=self.t, minlength=n)
-        total = STRENGTH + np.bincount(self.ctx, weights=self.c, minlength=n) + self.direct
-        self.gamma = (STRENGTH + self.d * self.tables + self.direct) / total
-        self.base = np.full(len(self.c), 1 / 256) if self.below is None else self.below.p[self.parent]
+        total = STRENGTH + np.bincount(self.ctx, weights=self.c, minlength=n)
+        self.gamma = (STRENGTH + self.d * self.tables) / total
+        self.base = self.outer if self.below is None else self.below.p[self.parent]
         self.p = (self.c - self.d * self.t) / total[self.ctx] + self.gamma[self.ctx] * self.base
 
 
+def _low(n: int) -> np.uint64:
+    return U((1 << 8 * n) - 1)
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, lo: int, hi: int) -> list[Level]:
+    """Levels lo to hi of distinct n-grams of hi bytes with customers."""
+    levels: list[Level] = []
+    for n in range(lo, hi + 1):
+        levels.append(Level(np.unique(keys & _low(n)), n, levels[-1] if levels else None))
+    order = np.argsort(keys)
+    levels[-1].fixed = counts[order]
+    return levels
+
+
 def _log_stirling(d: float) -> np.ndarray:
     """log of the generalised Stirling numbers S(c, t) with discount d for c, t <= _EXACT."""
     s = np.full((_EXACT + 1, _EXACT + 1), -np.inf)
@@ -191,19 +206,19 @@ def _move(level: Level, stirling: np.ndarray, rng: np.random.Generator) -> None:
     level.tables = np.bincount(level.ctx, weights=level.t, minlength=len(level.contexts))
 
 
-def sample_model(levels: list[Level], seed: int = 42) -> list[dict]:
-    """Gibbs sampling; per level the keys with probabilities, and contexts with back-off weights, by sample."""
-    rng = np.random.default_rng(seed)
-    for lv in levels:
-        lv.start()
+def _sweeps(levels: list[Level], outer: list[np.ndarray] | None, n_sweeps: int, rng: np.random.Generator):
+    """Gibbs sampling: yields the number of each sweep after it; ``outer`` are the base's samples."""
+    if outer is not None:
+        levels[0].outer = outer[0]
     for lv in levels:
         lv.refresh()
     for lv in reversed(levels):
         lv.refresh()
         _seat(lv, rng)
     stirling = [_log_stirling(lv.d) for lv in levels]
-    kept: list[list] = [[] for _ in levels]
-    for sweep in range(BURN_IN + SAMPLES):
+    for sweep in range(n_sweeps):
+        if outer is not None:
+            levels[0].outer = outer[max(0, sweep - BURN_IN)]
         for lv in levels:
             lv.refresh()
         for lv, s in zip(reversed(levels), reversed(stirling), strict=True):
@@ -211,16 +226,24 @@ def sample_model(levels: list[Level], seed: int = 42) -> list[dict]:
             lv.t = np.minimum(lv.t, lv.c)
             for _ in range(MOVES):
                 _move(lv, s, rng)
+        for lv in levels:
+            lv.refresh()
+        yield sweep
+
+
+def sample_model(levels: list[Level], rng: np.random.Generator, outer: list[np.ndarray] | None = None) -> list[dict]:
+    """Per level the keys with probabilities, and contexts with back-off weights, by sample."""
+    kept: list[list] = [[] for _ in levels]
+    for sweep in _sweeps(levels, outer, BURN_IN + SAMPLES, rng):
         if sweep >= BURN_IN:
             for i, lv in enumerate(levels):
-                lv.refresh()
                 kept[i].append((lv.p, lv.gamma))
     out = []
     for lv, k in zip(levels, kept, strict=True):
         keys, contexts = lv.keys.byteswap(), lv.contexts.byteswap()
         by_key, by_ctx = np.argsort(keys), np.argsort(contexts)
         p, gamma = ([x[0][by_key].astype(np.float32) for x in k], [x[1][by_ctx].astype(np.float32) for x in k])
-        out.append({"keys": keys[by_key], "p": p, "contexts": contexts[by_ctx], "gamma": gamma})
+        out.append({"width": lv.width, "keys": keys[by_key], "p": p, "contexts": contexts[by_ctx], "gamma": gamma})
     return out
 
 
@@ -228,17 +251,19 @@ def _first_bytes(n: int) -> np.uint64:
     return U(((1 << 8 * n) - 1) << 8 * (8 - n))
 
 
-def probabilities(model: list[dict], keys: np.ndarray) -> np.ndarray:
-    """Averaged predictive probability of the last byte of each n-gram after the others.
+def probabilities(model: list[dict], keys: np.ndarray, p: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """By sample, the predictive probability of the last byte of each n-gram after the others.
 
     ``keys`` are byte-swapped, as in the model: the predicted byte comes first, then its context from the
     nearest byte on, so sorted keys walk through the tables in order. A context (or dish) that one
-    level lacks is missing in all longer ones, since counts only fall; it is not searched there.
+    level lacks is missing in all longer ones; it is not searched there. ``p`` are the probabilities
+    by the levels below those of ``model``.
     """
-    p = [np.full(len(keys), 1 / 256) for _ in range(SAMPLES)]
+    p = [np.full(len(keys), 1 / 256) for _ in range(SAMPLES)] if p is None else [x.copy() for x in p]
     alive, seen = np.arange(len(keys)), np.ones(len(keys), bool)
     here = keys
-    for n, lv in enumerate(model, 1):
+    for lv in model:
+        n = lv["width"]
         if not len(lv["keys"]):
             break
         ctx = (here << U(8)) & _first_bytes(n - 1)
@@ -256,25 +281,77 @@ def probabilities(model: list[dict], keys: np.ndarray) -> np.ndarray:
         for each, of_dish, back_off in zip(p, lv["p"], lv["gamma"], strict=True):
             each[target] = of_dish[dish]
             each[missed] *= back_off[at]
-    return sum(p) / SAMPLES
+    return p
 
 
-def train(texts: DataFrame) -> list[dict]:
-    """The sampled model of a column ``text``."""
-    grams = staged(texts.select("text").mapInArrow(_count_ngrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels: list[Level] = []
-    for n in range(1, ORDER + 1):
-        key = F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1))
-        level = grams.groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
-        contexts = level.groupBy(F.shiftrightunsigned("key", 8).alias("key")).agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-        least = max(1, -(-total // KEPT)) if n >= 3 else 1
-        got = level.where(F.col("n") >= least).toPandas()  # at most KEPT rows, or 256**2 for short contexts
-        ctx = contexts.where(F.col("top") >= least).toPandas()
-        got, ctx = got.sort_values("key"), ctx.sort_values("key")
-        levels.append(Level(got["key"].to_numpy().astype(U), got["n"].to_numpy(), ctx["key"].to_numpy().astype(U), ctx["n"].to_numpy().astype(float), levels[-1] if levels else None, DISCOUNT[n - 1]))
+def _branch(batches):
+    """The n-grams of a partition in order, and its levels above the head (none without training texts)."""
+    held = [(b.column("key").to_numpy().astype(U), b.column("n").to_numpy(), b.column("k").to_numpy()) for b in batches]
+    if not held:
+        return None
+    keys, n, k = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)  # the same rows give the same seating, in whatever order they come
+    keys, n, k = keys[order], n[order], k[order]
+    own = k > 0
+    levels = _levels(keys[own], k[own], HEAD + 1, ORDER) if own.any() else []
+    return keys, n, levels, np.random.default_rng(int(keys[0]))
+
+
+def _base(head: list[dict], levels: list[Level]) -> list[np.ndarray]:
+    return probabilities(head, (levels[0].keys & _low(HEAD)).byteswap())
+
+
+def _head(dishes: DataFrame, seed: int) -> list[dict]:
+    """The sampled head from (key, n): its longest dishes and their customers, at most 256**HEAD rows."""
+    got = dishes.toPandas()
+    if not len(got):
+        return []
+    return sample_model(_levels(got["key"].to_numpy().astype(U), got["n"].to_numpy(), 1, HEAD), np.random.default_rng(seed))
+
+
+def log_probabilities(docs: DataFrame) -> DataFrame:
+    """(key, n, lp): each distinct n-gram of ``docs`` (text, trained) with its count and log10 probability."""
+    spark = docs.sparkSession
+    low = lambda n: F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("key")
+    marked = docs.select("text", "trained").mapInArrow(_count_ngrams, "key long, n long")
+    trained = F.when(F.shiftright("key", 8 * ORDER) == 1, F.col("n")).otherwise(0)
+    grams = staged(marked.select(low(ORDER), "n", trained.alias("k")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "ngrams")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // BRANCH_ROWS))
+    branches = grams.repartition(parts, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * HEAD) - 1)))
+
+    first = grams.where("k > 0").select(low(HEAD + 1)).distinct()  # one table for each dish above the head
+    shared = spark.sparkContext.broadcast(_head(first.select(low(HEAD)).groupBy("key").agg(F.count("*").alias("n")), 42))
+
+    def tables(batches):
+        found = _branch(batches)
+        if found and found[2]:
+            levels, rng = found[2:]
+            for _ in _sweeps(levels, _base(shared.value, levels), BURN_IN, rng):
+                pass
+            u, code = np.unique(levels[0].keys & _low(HEAD), return_inverse=True)
+            yield _key_counts(u, np.bincount(code, weights=levels[0].t).astype(np.int64))
+
+    sent = branches.mapInArrow(tables, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    final = spark.sparkContext.broadcast(_head(sent, 43))
+
+    def write(batches):
+        found = _branch(batches)
+        if found:
+            keys, n, levels, rng = found
+            head, swapped = final.value, keys.byteswap()
+            order = np.argsort(swapped)
+            p = probabilities(head, swapped[order])
+            if levels:
+                p = probabilities(sample_model(levels, rng, _base(head, levels)), swapped[order], p)
+            lp = np.empty(len(keys))
+            lp[order] = np.log10(sum(p) / SAMPLES)
+            for at in range(0, len(keys), 1 << 17):
+                cut = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[cut])), pa.array(n[cut]), pa.array(lp[cut])], names=["key", "n", "lp"])
+
+    out = staged(branches.mapInArrow(write, "key long, n long, lp double"), "ngram-scores")
     release(grams)
-    return sample_model(levels)
+    return out
 
 
 def perplexity_scores(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,21 +370,31 @@ def perplexity_scores(docs: DataFrame, trained: Column, id_col: str = "doc_id",
     n_all, v_all = (stats["n"] or 0) + ends, stats["v"] + (ends > 0)
     least = max(1, -(-n_all // KEPT_WORDS))
     often = words.where(F.col("n") >= least).toPandas().sort_values("key")  # at most KEPT_WORDS rows
-    shared = spark.sparkContext.broadcast({"model": train(learn), "words": (often["key"].to_numpy(), often["n"].to_numpy())})
+    grams = log_probabilities(base)
+    least_grams = max(1, -(-(grams.agg(F.sum("n")).first()[0] or 0) // KEPT))
+    head = grams.where(F.col("n") >= least_grams).select("key", "lp").toPandas().sort_values("key")  # at most KEPT rows
+    shared = spark.sparkContext.broadcast({"grams": (head["key"].to_numpy(), head["lp"].to_numpy()), "words": (often["key"].to_numpy(), often["n"].to_numpy())})
     norm = float(np.log10(n_all + v_all + 1.0))
 
+    def find(known, keys):
+        """Where sorted or unsorted ``keys`` are in the sorted ``known``, and which are there."""
+        if not len(known):
+            return np.zeros(len(keys), int), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
+
     def score(batches):
         here = shared.value
-        model, (known, count) = here["model"], here["words"]
+        (grams_known, lp), (known, count) = here["grams"], here["words"]
         log_count = np.log10(count + 1.0)
         for batch in batches:
             for w in runs(batch.column("text"), lower=True):
                 stream, doc_at = letters(w)
-                u, code = np.unique(ngrams(stream, doc_at).byteswap(), return_inverse=True)
-                logs = np.log10(probabilities(model, u))[code]
+                u, code = np.unique(ngrams(stream, doc_at), return_inverse=True)
+                at, hit = find(grams_known, signed(u))
+                logs = (np.where(hit, lp[at], 0.0) if len(lp) else np.zeros(len(u)))[code]
                 h, doc = signed(w.hashes()), w.doc_of_word()
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                at, hit = find(known, h)
                 part = batch.slice(w.lo, w.n_docs)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -321,27 +408,37 @@ def perplexity_scores(docs: DataFrame, trained: Column, id_col: str = "doc_id",
                 )
 
     def rare(batches):
-        known = shared.value["words"][0]
+        """Words (kind 0) and n-grams (kind 1) that are not broadcast, counted by text."""
+        here = shared.value
         for batch in batches:
             rid = batch.column("rid").to_numpy(zero_copy_only=False)
             for w in runs(batch.column("text"), lower=True):
+                stream, doc_at = letters(w)
+                u, code = np.unique(ngrams(stream, doc_at), return_inverse=True)
+                away = np.flatnonzero(~find(here["grams"][0], signed(u))[1][code])
                 h, doc = signed(w.hashes()), w.doc_of_word()
-                if len(known):
-                    left = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h)
-                    h, doc = h[left], doc[left]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(rid[w.lo + doc[first]]), pa.array(np.diff(np.append(first, len(h))), pa.int32())], names=["key", "rid", "m"])
+                left = np.flatnonzero(~find(here["words"][0], h)[1])
+                sides = ((0, h[left], doc[left]), (1, signed(u)[code[away]], np.searchsorted(doc_at, away, "right") - 1))
+                for kind, key, of in sides:
+                    order = np.lexsort((key, of))
+                    key, of = key[order], of[order]
+                    new = np.ones(len(key), bool)
+                    new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+                    first = np.flatnonzero(new)
+                    m = np.diff(np.append(first, len(key)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int8)), pa.array(key[first]), pa.array(rid[w.lo + of[first]]), pa.array(m, pa.int32())], names=["kind", "key", "rid", "m"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
     scored = base.mapInArrow(score, f"doc_id {kind}, rid long, trained boolean, n_tokens long, n_known long, base_score double, score double")
-    found = base.select("rid", "text").mapInArrow(rare, "key long, rid long, m int").join(words.where(F.col("n") < least), "key")
-    extra = found.groupBy("rid").agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("b"))
+    values = words.where(F.col("n") < least).select(F.lit(0).cast("byte").alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("x"))
+    values = values.unionByName(grams.where(F.col("n") < least_grams).select(F.lit(1).cast("byte").alias("kind"), "key", F.col("lp").alias("x")))
+    found = base.select("rid", "text").mapInArrow(rare, "kind byte, key long, rid long, m int").join(values, ["kind", "key"])
+    word, sums = F.col("kind") == 0, F.col("m") * F.col("x")
+    extra = found.groupBy("rid").agg(F.sum(F.when(word, F.col("m"))).alias("k"), F.sum(F.when(word, sums)).alias("b"), F.sum(F.when(~word, sums)).alias("s"))
     copies = base.groupBy("rid").agg(F.count("*").alias("copies"))
-    extra = extra.join(copies, "rid").select("rid", (F.col("k") / F.col("copies")).cast("long").alias("k"), (F.col("b") / F.col("copies")).alias("b"))
+    share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0)).alias(c)
+    extra = extra.join(copies, "rid").select("rid", *map(share, ("k", "b", "s")))
+    more = lambda c: F.coalesce(c, F.lit(0.0))
     return scored.join(extra, "rid", "left").select(
-        "doc_id", "trained", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"), "score"
+        "doc_id", "trained", "n_tokens", (F.col("n_known") + more("k").cast("long")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + more("b")).alias("base_score"), (F.col("score") + more("s")).alias("score")
     )

@@ -193,3 +193,37 @@ def test_pitman_yor(spark):
     assert all(r.score < 0 and r.n_known <= r.n_tokens for r in got)
     held = [r for r in got if not r.trained and r.n_tokens > 1]
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -4
+
+
+def test_pitman_yor_keeps_rare_ngrams(spark, monkeypatch):
+    """What is broadcast and what is joined must not change the model."""
+    from kindred.llm import pitman_yor
+
+    rng = random.Random(8)
+    words = [prose(rng, 1) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=40))) for i in range(60)] + [(3, "again the same id"), (100, None), (100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for kept in (1 << 22, 1 << 6):
+        monkeypatch.setattr(pitman_yor, "KEPT", kept)
+        found = perplexity_scores(docs, F.col("doc_id") % 4 != 0).collect()
+        got.append(sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in found))
+    assert [r[:3] for r in got[0]] == [r[:3] for r in got[1]]
+    assert [r[3] for r in got[0]] == pytest.approx([r[3] for r in got[1]], abs=1e-6)
+
+
+def test_pitman_yor_distribution():
+    """The probabilities of all bytes after a context add up to one, seen or not, in head and branches."""
+    from kindred.llm import pitman_yor as py
+
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 48, 40, dtype=np.uint64) | np.uint64(0))
+    counts = rng.integers(1, 9, len(keys))
+    low3, n3 = np.unique(np.unique(keys & py._low(4)) & py._low(3), return_counts=True)
+    head = py.sample_model(py._levels(low3, n3, 1, 3), rng)
+    levels = py._levels(keys, counts, 4, 6)
+    branch = py.sample_model(levels, rng, py._base(head, levels))
+    for context in (keys[0] >> np.uint64(8), keys[7] >> np.uint64(8) & py._low(3), np.uint64(12345)):
+        every = ((context << np.uint64(8)) | np.arange(256, dtype=np.uint64)).byteswap()
+        p = py.probabilities(branch, every, py.probabilities(head, every))
+        assert [x.sum() for x in p] == pytest.approx([1.0] * py.SAMPLES, abs=1e-5)
