@@ -44,7 +44,7 @@ def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return encode_decode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=kept)
+    return encode_decode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=kept, with_ids=True)
 
 
 STAGES = [
