@@ -17,8 +17,9 @@ words. Two documents link if the Jaccard similarity of their sets is at least th
    of near copies with a third of all rows needs many tasks but no large one.
 5. Components over the verified forest give the classes.
 
-Defined cases: null and empty texts have no shingles and link with nothing; equal ids are one node
-(rows with the same id and other texts each count); a null id links with nothing.
+Defined cases: null and empty texts have no shingles and link with nothing; repeated rows of one id are
+one document and don't count each other (an id that occurs with other texts has the links of all of them); a
+null id links with nothing; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -205,18 +206,15 @@ def _links(sets: list[np.ndarray], apart: np.ndarray, two: bool, threshold: floa
     return i[ok], j[ok]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+def _forest(root: list[int], i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """The links that join two trees; ``root`` holds the trees and is carried on."""
     out = []
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = find(a), find(b)
+        x, y = a, b
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
         if x != y:
             root[x] = y
             out.append((a, b))
@@ -236,7 +234,7 @@ def _tile(threshold: float):
         np.add.at(texts, i, 1)
         np.add.at(texts, j, 1)
         some = np.flatnonzero(texts)
-        forest = _forest(n, i, j)
+        forest = _forest(list(range(n)), i, j)
         none = np.full(len(forest), 0)
         return pa.table(
             {
@@ -261,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = base.where(F.col("doc_id").isNotNull())
     sigs = stage(known.mapInArrow(_documents, "doc_id long, k1 long, k2 long, n_shingles int, sig binary"), "sigs")
-    classes = sigs.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("sig").alias("sig"))
+    weights = sigs.select("k1", "k2", "doc_id").distinct().groupBy("k1", "k2").agg(F.count("*").alias("weight"))
+    classes = sigs.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")).join(weights, ["k1", "k2"])
     classes = stage(classes, "classes")
 
     bands = classes.select("rep", "sig").mapInArrow(_bands, "band long, rep long")
