@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Entries kept of the piece cache, and states kept of the transducer, in one worker.
 PIECES, STATES = 1_000_000, 500_000
+#: Pieces of more bytes are not cached.
+LONG = 4096
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -91,6 +93,16 @@ class Transducer:
         self.moves: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
         self.may.clear()
 
+    def _forget(self, state: int) -> int:
+        """Drop all states but one; its new number."""
+        key = self.sets[state]
+        self._reset()
+        if key not in self.ids:
+            self.ids[key] = len(self.sets)
+            self.sets.append(key)
+            self.moves.append({})
+        return self.ids[key]
+
     def _follows(self, a: int, b: int) -> bool:
         """Whether merging the bytes of a and b by rank gives a, b again.
 
@@ -174,12 +186,17 @@ class Transducer:
         else:
             if len(self.sets) > STATES:
                 self._reset()
-            moves, state, got = self.moves, 0, ()
+            moves, state, parts = self.moves, 0, []
             for b in data:
                 out, state = moves[state].get(b) or self._step(state, b)
                 if out:
-                    got += out
-            got += self._last(state)
+                    parts.extend(out)
+                if len(moves) > STATES:
+                    state = self._forget(state)
+                    moves = self.moves
+            got = (*parts, *self._last(state))
+        if len(data) > LONG:
+            return got
         if len(self.pieces) >= PIECES:
             self.pieces.clear()
         self.pieces[text] = got
