@@ -15,8 +15,12 @@ sequence also starts in a document with a smaller id is removed; windows are jud
 
 Whole copies are settled beforehand by SHA-256 of their words; only the first of them is searched.
 
+Rows are told apart by two columns, 96 bits at least: the id (a hash of the text where it is null) and a hash
+of the text. Repeated rows share them and have one result.
+
 Defined cases: null and empty texts have no words and nothing removed; rows with equal ids are one
-document's, neither is smaller; a null id is larger than all others; extra columns are ignored.
+document's, neither is smaller; a null id is larger than all others; extra columns are ignored; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -78,15 +82,15 @@ def _anchors(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _facts(batches):
-    """(doc_id, rid, n_words, all_sha) of every row."""
+    """(doc_id, a, b, n_words, all_sha) of every row."""
     for batch in batches:
         n, sha = [], []
         for w in runs(batch.column("text")):
             n.append(w.counts)
             sha += [hashlib.sha256(w.joined(k)).hexdigest() for k in range(w.n_docs)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("rid"), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(sha, pa.string())],
-            names=["doc_id", "rid", "n_words", "all_sha"],
+            [batch.column("doc_id"), batch.column("a"), batch.column("b"), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(sha, pa.string())],
+            names=["doc_id", "a", "b", "n_words", "all_sha"],
         )
 
 
@@ -146,9 +150,11 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def _occurrences(width: int, segments: int):
+    """Runs with their segment, both cells in one number, the document, and place: first window << 16 | windows."""
+
     def scan(batches):
         for batch in batches:
-            rid = batch.column("rid").to_numpy(zero_copy_only=False)
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
             for w in runs(batch.column("text")):
                 anchor, at, length = _anchors(w, width)
                 if not len(anchor):
@@ -156,8 +162,8 @@ def _occurrences(width: int, segments: int):
                 doc = np.searchsorted(w.first, at, "right") - 1
                 seg, cells = _address(anchor, segments)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in ((seg, pa.int64()), (cells[0] + 1, pa.int32()), (cells[1] + 1 + CELLS, pa.int32()), (rid[w.lo + doc], pa.int64()), (at - w.first[doc], pa.int32()), (length, pa.int32()))],
-                    names=["segment", "c0", "c1", "rid", "at", "length"],
+                    [pa.array(x, t) for x, t in ((seg, pa.int64()), (cells[0] | cells[1] << 12, pa.int32()), (a[w.lo + doc], pa.int64()), (b[w.lo + doc], pa.int32()), ((at - w.first[doc]) << 16 | length, pa.int64()))],
+                    names=["segment", "cells", "a", "b", "place"],
                 )
 
     return scan
@@ -168,20 +174,20 @@ def _windows(width: int):
 
     def scan(batches):
         for batch in batches:
-            rid, owner = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "owner"))
+            a, b, owner = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "owner"))
             flagged = batch.column("runs")
             for w in runs(batch.column("text")):
                 h, h2 = w.hashes(), w.hashes(1)
                 for k in range(w.n_docs):
-                    a, b = int(w.first[k]), int(w.first[k + 1])
-                    own = flagged[w.lo + k].values
-                    at = np.concatenate([np.arange(s, s + n) for s, n in zip(own.field(0).to_pylist(), own.field(1).to_pylist(), strict=True)])
-                    one = signed(mix(spans(h[a:b], at, at + width, 0xC2B2AE3D27D4EB4F)))
-                    two = (mix(spans(h2[a:b], at, at + width, 0x165667B19E3779F9)) >> U(32)).astype(np.uint32).view(np.int32)
+                    lo, hi = int(w.first[k]), int(w.first[k + 1])
+                    own = flagged[w.lo + k].values.to_pylist()
+                    at = np.concatenate([np.arange(x >> 16, (x >> 16) + (x & 0xFFFF)) for x in own])
+                    one = signed(mix(spans(h[lo:hi], at, at + width, 0xC2B2AE3D27D4EB4F)))
+                    two = (mix(spans(h2[lo:hi], at, at + width, 0x165667B19E3779F9)) >> U(32)).astype(np.uint32).view(np.int32)
                     m = len(at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(one), pa.array(two), pa.array(np.full(m, owner[w.lo + k])), pa.array(np.full(m, rid[w.lo + k])), pa.array(at, pa.int32())],
-                        names=["h1", "h2", "doc", "rid", "at"],
+                        [pa.array(one), pa.array(two), *(pa.array(np.full(m, x[w.lo + k])) for x in (owner, a, b)), pa.array(at, pa.int32())],
+                        names=["h1", "h2", "doc", "a", "b", "at"],
                     )
 
     return scan
@@ -192,7 +198,6 @@ def _cut(width: int):
 
     def scan(batches):
         for batch in batches:
-            rid = batch.column("rid")
             gone = batch.column("gone")
             removed, sha, kept = [], [], []
             for w in runs(batch.column("text")):
@@ -206,62 +211,65 @@ def _cut(width: int):
                     removed.append(int((~keep).sum()))
                     sha.append(hashlib.sha256(text).hexdigest())
                     kept.append(text.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([rid, pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["rid", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["a", "b", "n_removed", "kept_sha256", "kept"])
 
     return scan
 
 
+def row_key(doc_id, text) -> tuple:
+    """The two columns that tell rows apart in the result of ``remove_repeats``."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text)).alias("a"), F.hash(F.lit(31), text).alias("b")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
-    """(doc_id, rid, n_words, n_removed, kept_sha256, kept): one row per row of ``docs``.
+    """(doc_id, a, b, n_words, n_removed, kept_sha256, kept): one row per row of ``docs``.
 
     ``kept`` holds the words that stay, joined by one space, for documents that lost some but not all
     words; it is null where nothing was removed (the text stands) and empty where all words went.
-    ``rid`` is a hash of id and text that joins the result with its documents.
+    ``a`` and ``b`` are ``row_key`` of id and text: they join the result with its documents.
     """
     stage = Stages()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumn("rid", F.xxhash64("doc_id", "text"))
+    base = base.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
+    key = ["a", "b"]
 
-    facts = stage(base.mapInArrow(_facts, "doc_id long, rid long, n_words long, all_sha string"), "facts")
+    facts = stage(base.mapInArrow(_facts, "doc_id long, a long, b int, n_words long, all_sha string"), "facts")
     order = F.coalesce("doc_id", F.lit(_LAST))
     size = facts.agg(F.sum("n_words")).first()[0] or 0
-    long_enough = facts.where(F.col("n_words") >= width).select("rid", "all_sha", order.alias("doc"))
+    long_enough = facts.where(F.col("n_words") >= width).select(*key, "all_sha", order.alias("doc"))
     owners = long_enough.groupBy("all_sha").agg(F.min("doc").alias("owner"))
     ranked = long_enough.distinct().join(owners, "all_sha")
-    copies = ranked.where(F.col("doc") > F.col("owner")).select("rid").distinct()
-    first = ranked.where(F.col("doc") == F.col("owner")).select("rid", "owner").distinct()
+    copies = ranked.where(F.col("doc") > F.col("owner")).select(*key).distinct()
+    first = ranked.where(F.col("doc") == F.col("owner")).select(*key, "owner").distinct()
 
     expected = 2 * size / (width - min(ANCHOR, width) + 2)
     segments = max(1, math.ceil(expected * ROOM / CELLS))
     texts = base.where(F.octet_length("text") >= 2 * width - 1)
     sketch = texts.select("text").mapInArrow(_sketch(width, segments), "segment long, part binary").groupBy("segment").applyInArrow(_merge, "segment long, sketch binary")
     sketch = stage(sketch, "sketch")
-    seen = texts.select("rid", "text").mapInArrow(_occurrences(width, segments), "segment long, c0 int, c1 int, rid long, at int, length int")
-    twice = F.lit(b"\x02")
-    runs_ = (
-        seen.join(sketch, "segment")
-        .where((F.expr("substring(sketch, c0, 1)") == twice) & (F.expr("substring(sketch, c1, 1)") == twice))
-        .groupBy("rid")
-        .agg(F.collect_set(F.struct("at", "length")).alias("runs"))
-    )
+    seen = texts.select(*key, "text").mapInArrow(_occurrences(width, segments), "segment long, cells int, a long, b int, place long")
+    often = lambda row, c: F.expr(f"substring(sketch, {c} + {row * CELLS + 1}, 1)") == F.lit(b"\x02")
+    runs_ = seen.join(sketch, "segment").where(often(0, "(cells & 4095)") & often(1, "shiftright(cells, 12)")).groupBy(*key).agg(F.collect_set("place").alias("runs"))
     # Each step is written before the next, so that the shuffles of only one are on disk.
-    marked = stage(runs_.join(first, "rid"), "marked")
-    suspects = stage(base.join(marked, "rid").dropDuplicates(["rid"]), "suspects")
-
-    windows = suspects.mapInArrow(_windows(width), "h1 long, h2 int, doc long, rid long, at int")
-    first_doc = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2", "low")
-    gone = windows.join(first_doc, ["h1", "h2"]).where("doc > low").groupBy("rid").agg(F.collect_list("at").alias("gone"))
+    marked = stage(runs_.join(first, key), "marked")
+    suspects = stage(base.join(marked, key).dropDuplicates(key), "suspects")
+
+    windows = stage(suspects.mapInArrow(_windows(width), "h1 long, h2 int, doc long, a long, b int, at int"), "windows")
+    shared = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2", "low")
+    # Owners of repeated windows are written: the join then reads plain exchanges, and adaptive execution splits a hot window.
+    shared = stage(shared, "shared")
+    gone = windows.join(shared, ["h1", "h2"]).where("doc > low").groupBy(*key).agg(F.collect_list("at").alias("gone"))
     gone = stage(gone, "gone")
-    cut = suspects.select("rid", "text").join(gone, "rid").mapInArrow(_cut(width), "rid long, n_removed long, kept_sha256 string, kept string")
+    cut = suspects.select(*key, "text").join(gone, key).mapInArrow(_cut(width), "a long, b int, n_removed long, kept_sha256 string, kept string")
     cut = stage(cut, "cut")
 
-    whole = copies.select("rid", F.lit(True).alias("copy"))
+    whole = copies.select(*key, F.lit(True).alias("copy"))
     result = (
-        facts.join(whole, "rid", "left")
-        .join(cut, "rid", "left")
+        facts.join(whole, key, "left")
+        .join(cut, key, "left")
         .select(
             "doc_id",
-            "rid",
+            *key,
             "n_words",
             F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(F.col("copy"), F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", "all_sha")).alias("kept_sha256"),
