@@ -34,10 +34,11 @@ def star_forest(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # The minima are dealt anew, so the join reads plain exchanges and adaptive execution can split a hub.
+        large = both.join(low.repartition("u"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low2, "u")
+            large.join(low2.repartition("u"), "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
             .select(F.col("x.u").alias("u"), F.col("x.m").alias("v"))
             .where(F.col("u") != F.col("v"))
