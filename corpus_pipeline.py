@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.byte_bpe import encode_decode
 from kindred.llm.mixing import mix_sources
 from kindred.llm.ngram_jaccard import near_duplicates
-from kindred.llm.substring_dedup import remove_repeats
+from kindred.llm.queries import SOURCE_WEIGHTS
+from kindred.llm.substring_dedup import remove_repeats, row_key
 from kindred.llm.toxicity import toxicity
 from kindred.plans.stage import staged
 
@@ -29,22 +31,38 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the repeated passages; a text that was all repeated stays as an empty one."""
-    changed = remove_repeats(docs).where("n_removed > 0").select("rid", "kept").dropDuplicates(["rid"])
-    out = docs.withColumn("rid", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(changed, "rid", "left")
-    n = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("kept").cast("long"))
-    return out.withColumn("text", F.coalesce("kept", "text")).withColumn("n_chars", n).select(*docs.columns)
+    changed = remove_repeats(docs).where("n_removed > 0").select("a", "b", F.col("kept").alias("left")).dropDuplicates(["a", "b"])
+    a, b = row_key(F.col("doc_id"), F.col("text"))
+    out = docs.withColumns({"a": a, "b": b}).join(changed, ["a", "b"], "left")
+    n = F.when(F.col("left").isNull(), F.col("n_chars")).otherwise(F.char_length("left").cast("long"))
+    return out.withColumns({"text": F.coalesce("left", "text"), "n_chars": n}).select(*docs.columns)
 
 
 def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order of the schedule: files and rows within files follow it."""
-    mixed = mix_sources(docs)
+    """All rows in the order of the schedule: files, in the order of their names, and rows within files follow it."""
+    mixed = mix_sources(docs, SOURCE_WEIGHTS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return mixed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
+def with_position(docs: DataFrame) -> DataFrame:
+    """``docs`` with mix_position, the place of each row in the written order of its files; null if ``docs`` reads no files.
+
+    One count a file meets the rows; no row is moved.
+    """
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return docs.withColumn("mix_position", F.lit(None).cast("long"))
+    files = rows.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = files.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__before"))
+    return rows.join(before, "__file").withColumn("mix_position", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return encode_decode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=kept, with_ids=True)
+    """The token ids of every document, with its place in the mix."""
+    kept = (*(c for c in docs.columns if c not in ("doc_id", "text")), "mix_position")
+    return encode_decode(with_position(docs), VOCABULARY, public_tokenizers.PATTERN, keep=kept, with_ids=True)
 
 
 STAGES = [
@@ -55,7 +73,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: No stage of this pipeline is expressible in SQL; tests hold it against brute force.
+#: No stage of this pipeline is expressible in SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
