@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CODES = {**dict.fromkeys("BFPV", "1"), **dict.fromkeys("CGJKQSXZ", "2"), **dict.fromkeys("DT", "3"), "L": "4", **dict.fromkeys("MN", "5"), "R": "6"}
+# The letter codes of Soundex, and the patterns of numbers and years.
+SOUNDEX_LETTERS = "BFPVCGJKQSXZDTLMNR"
+SOUNDEX_CODES = "111122222222334556"
+NUMBER = r"[-+]?\d*\.?\d+"
+YEAR = r"(1[7-9]\d{2}|20\d{2})"
 
 
 def clean(x: Column) -> Column:
@@ -41,32 +45,46 @@ def overlap(a: Column, b: Column) -> Column:
 
 def parse_number(x: Column) -> Column:
     """The first decimal number of a text, thousands commas ignored; null if there is none."""
-    return F.try_to_number(F.nullif(F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), r"[-+]?\d*\.?\d+", 0), F.lit("")), F.lit("S999999999999D999999")).cast("double")
+    return F.nullif(F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def parse_year(x: Column) -> Column:
     """The first year from 1700 to 2099."""
-    return F.nullif(F.regexp_extract(x, r"(1[7-9]\d{2}|20\d{2})", 1), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(x, YEAR, 1), F.lit("")).try_cast("int")
+
+
+def parse_seconds(x: Column) -> Column:
+    """Seconds of h:mm:ss, m:ss or a plain number; null where a part is no number or there are others."""
+    parts = F.transform(F.split(F.trim(x), ":"), lambda p: F.trim(p).try_cast("double").try_cast("long"))
+    at = lambda i: F.get(parts, F.lit(i))
+    plain = parse_number(x).try_cast("long")
+    return F.when(F.size(parts) == 1, plain).when(F.size(parts) == 2, at(0) * 60 + at(1)).when(F.size(parts) == 3, at(0) * 3600 + at(1) * 60 + at(2))
 
 
 def digits_only(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def phone_last7(x: Column) -> Column:
+    """The last seven digits; null for fewer."""
+    d = digits_only(x)
+    return F.when(F.length(d) >= 7, F.right(d, F.lit(7)))
+
+
 def block_soundex(word: Column) -> Column:
     """Letter and three digits; the code before last is remembered across vowels, H and W.
 
     Only letters count; a word without any gives the empty string.
     """
     letters = F.regexp_replace(F.upper(word), r"[^\p{L}]", "")
-    code = F.create_map(*[F.lit(v) for kv in _CODES.items() for v in kv])
+    code = F.create_map(*[F.lit(v) for kv in zip(SOUNDEX_LETTERS, SOUNDEX_CODES, strict=True) for v in kv])
     zero = F.struct(F.lit("").alias("out"), F.coalesce(F.element_at(code, letters.substr(1, 1)), F.lit("0")).alias("last"))
 
     def step(acc: Column, ch: Column) -> Column:
         c = F.coalesce(F.element_at(code, ch), F.lit("0"))
         return F.when(c == "0", acc).otherwise(F.struct(F.when(c != acc["last"], F.concat(acc["out"], c)).otherwise(acc["out"]).alias("out"), c.alias("last")))
 
-    rest = F.filter(F.split(F.substring(letters, 2, 1000), ""), lambda ch: ch != "")
+    rest = F.filter(F.split(letters.substr(F.lit(2), F.length(letters)), ""), lambda ch: ch != "")
     tail = F.aggregate(rest, zero, step, lambda acc: acc["out"])
     return F.when(letters == "", F.lit("")).otherwise(F.rpad(F.concat(letters.substr(1, 1), tail).substr(1, 4), 4, "0"))
 
@@ -85,3 +103,76 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     mid = (p + zz / (2 * n)) / (1 + zz / n)
     half = z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return mid - half, mid + half
+
+
+def logit(p: Column) -> Column:
+    return F.ln(p / (1 - p))
+
+
+def numeric_gap(a: Column, b: Column) -> tuple[Column, Column]:
+    """Absolute difference, and relative to the larger magnitude (1 at least)."""
+    gap = F.abs(a - b)
+    return gap, gap / F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
+
+
+def similarity_band(x: Column) -> Column:
+    """high from 0.9, med from 0.75, low from 0.5, else vlow."""
+    return F.when(x >= 0.9, "high").when(x >= 0.75, "med").when(x >= 0.5, "low").otherwise("vlow")
+
+
+def edge_key(a: Column, b: Column) -> Column:
+    """Smaller and larger id joined by an underscore."""
+    return F.concat_ws("_", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
+
+
+#: Names of metrics in logs and what they are called here.
+LOG_ALIASES = {
+    "trainacc": "train_acc",
+    "valacc": "val_acc",
+    "accuracy": "acc",
+    "trainaccuracy": "train_acc",
+    "valaccuracy": "val_acc",
+    "precision": "prec",
+    "precision_labeled": "prec_labeled",
+}
+_PAIR = r"([a-zA-Z0-9_]+)\s*=\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)(%)?"
+
+
+def log_values(line: Column) -> Column:
+    """Map of the key=value pairs of a log line: lower-cased names and their aliases, numbers, percents as shares; the last of a name counts."""
+    part = lambda i: F.regexp_extract_all(line, F.lit(_PAIR), F.lit(i))
+    found = F.arrays_zip(F.transform(part(1), F.lower).alias("k"), part(2).alias("v"), part(3).alias("p"))
+    number = lambda x: F.when(x["p"] == "%", x["v"].try_cast("double") / 100).otherwise(x["v"].try_cast("double"))
+    own = F.transform(found, lambda x: F.struct(x["k"].alias("k"), number(x).alias("v")))
+    alias = F.create_map(*[F.lit(v) for kv in LOG_ALIASES.items() for v in kv])
+    more = F.transform(F.filter(own, lambda x: F.element_at(alias, x["k"]).isNotNull()), lambda x: F.struct(F.element_at(alias, x["k"]).alias("k"), x["v"].alias("v")))
+    every = F.concat(own, more)
+    last = F.filter(F.transform(every, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(every, x["i"] + 2, F.size(every)), lambda y: y["k"] == x["k"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+
+
+def human_bytes(n: Column) -> Column:
+    """A number of bytes with one decimal, in steps of 1024 up to PB."""
+    units = ["B", "KB", "MB", "GB", "TB"]
+    out = F.lit(None).cast("string")
+    for k, unit in reversed(list(enumerate(units))):
+        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", (n / 1024.0**k).cast("double"))).otherwise(out if k < 4 else F.format_string("%.1f PB", (n / 1024.0**5).cast("double")))
+    return out
+
+
+def percent(x: Column) -> Column:
+    """One decimal and a percent sign; a dash for null."""
+    return F.when(x.isNull(), "—").otherwise(F.format_string("%.1f%%", 100.0 * x))
+
+
+def person_label(first: Column, patronym: Column, surname: Column, birthyear: Column, id_: Column) -> Column:
+    """first (patronym or surname), then birth year and id on a second line."""
+    last = F.trim(F.coalesce(F.nullif(patronym, F.lit("")), surname, F.lit("")))
+    year = F.coalesce(birthyear.cast("int").cast("string"), F.lit(""))
+    return F.concat(F.coalesce(first, F.lit("")), F.lit(" "), last, F.lit("\n("), year, F.lit(") [#"), id_.cast("string"), F.lit("]"))
+
+
+def term(x: Column) -> Column:
+    """Lower case, runs of anything but a-z, 0-9 and underscore as one underscore, 30 characters; "unknown" if empty."""
+    clean_ = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9_]", "_"), "_+", "_"), "^_|_$", "")
+    return F.coalesce(F.nullif(F.substring(clean_, 1, 30), F.lit("")), F.lit("unknown"))

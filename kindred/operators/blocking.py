@@ -6,15 +6,21 @@ the limit is part of each blocker's meaning. Attributes are joined to the distin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.text import block_soundex, tokens
+from kindred.functions.text import block_soundex, clean, tokens
 
 
-def token_keys(records: DataFrame, id_col: str, text: Column, least: int = 2) -> DataFrame:
-    """(id, key): a row per record and distinct token."""
-    return records.select(F.col(id_col).alias("id"), F.explode(tokens(text, least)).alias("key"))
+#: Fixed value: tokens of the stricter variant are letters and digits only.
+ALNUM = r"^[\p{L}\p{N}]+$"
+
+
+def token_keys(records: DataFrame, id_col: str, text: Column, least: int = 2, alnum: bool = False) -> DataFrame:
+    """(id, key): a row per record and distinct token; ``alnum``: only those of letters and digits."""
+    found = tokens(text, least)
+    return records.select(F.col(id_col).alias("id"), F.explode(F.filter(found, lambda t: t.rlike(ALNUM)) if alnum else found).alias("key"))
 
 
 def soundex_keys(records: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -23,10 +29,27 @@ def soundex_keys(records: DataFrame, id_col: str, text: Column) -> DataFrame:
     return records.select(F.col(id_col).alias("id"), F.explode(codes).alias("key"))
 
 
-def prefix_keys(records: DataFrame, id_col: str, name: Column, year: Column, letters: int = 2, width: int = 5) -> DataFrame:
-    """(id, key): the first letters of a name and a bucket of years, -1 where missing."""
+def field_keys(records: DataFrame, id_col: str, field: Column, method: str = "soundex") -> DataFrame:
+    """(id, key) by the code of the whole field: soundex (the engine's own), else the first four letters in upper case."""
+    text = clean(field)
+    code = F.soundex(text) if method == "soundex" else F.upper(F.substring(text, 1, 4))
+    return records.select(F.col(id_col).alias("id"), code.alias("key")).where("key is not null and key <> ''")
+
+
+def prefix_keys(records: DataFrame, id_col: str, names: list[Column], year: Column, letters: int = 2, width: int = 5) -> DataFrame:
+    """(id, key): the first letters of the first name that is not blank, and a bucket of years, -1 where missing."""
+    name = F.lower(F.coalesce(*(clean(n) for n in names), F.lit("")))
     bucket = F.coalesce(F.floor(year / width).cast("string"), F.lit("-1"))
-    return records.select(F.col(id_col).alias("id"), F.concat_ws("|", F.substring(F.lower(F.coalesce(name, F.lit(""))), 1, letters), bucket).alias("key"))
+    return records.select(F.col(id_col).alias("id"), F.concat_ws("|", F.substring(name, 1, letters), bucket).alias("key"))
+
+
+def composite_keys(records: DataFrame, id_col: str, parts: list[tuple[Column, int]], year: Column | None = None, width: int = 5) -> DataFrame:
+    """(id, key): prefixes of several fields, and a bucket of years where asked for; blank fields give no key."""
+    heads = [F.substring(F.lower(clean(c)), 1, n) for c, n in parts]
+    if year is not None:
+        heads.append(F.floor(year / width).cast("string"))
+    whole = F.array(*heads)
+    return records.select(F.col(id_col).alias("id"), F.when(~F.exists(whole, F.isnull), F.array_join(whole, "|")).alias("key")).where("key is not null")
 
 
 def hierarchy_keys(records: DataFrame, id_col: str, levels: list[Column]) -> DataFrame:
@@ -38,22 +61,134 @@ def hierarchy_keys(records: DataFrame, id_col: str, levels: list[Column]) -> Dat
     return records.select(F.col(id_col).alias("id"), F.explode(keys).alias("key"))
 
 
+def finest_keys(records: DataFrame, id_col: str, levels: list[tuple[str, Column]]) -> DataFrame:
+    """(id, key): the first level (finest first) that is not blank, with its name."""
+    named = [F.concat(F.lit(f"{n}:"), F.nullif(F.trim(c.cast("string")), F.lit(""))) for n, c in levels]
+    return records.select(F.col(id_col).alias("id"), F.coalesce(*named).alias("key")).where("key is not null")
+
+
+def sample_blocks(keys: DataFrame, most: int = 100, seed: int = 42) -> DataFrame:
+    """``keys`` with no more than ``most`` records a block, those first by ``spread`` of their ids (ids are numbers).
+
+    The sample is this blocker's meaning: the reference draws it at random.
+    """
+    order = Window.partitionBy("key").orderBy(spread(F.col("id"), seed), "id")
+    return keys.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+
+
+def spread(id_: Column, seed: int = 42) -> Column:
+    """A number in [0, 2**31) that orders ids as if at random; plain arithmetic that every engine has."""
+    return (id_ * 2654435761 + seed) % 2147483648
+
+
 def block_sizes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("n"))
 
 
-def pairs_in_blocks(keys: DataFrame, most: int, fewest: int = 2) -> DataFrame:
-    """Distinct pairs of records that share a block of fewest to most members."""
-    kept = keys.join(block_sizes(keys).where(F.col("n").between(fewest, most)).select("key"), "key")
-    left, right = kept.select("key", F.col("id").alias("id1")), kept.select("key", F.col("id").alias("id2"))
-    return left.join(right, "key").where("id1 < id2").select("id1", "id2").distinct()
+def kept_blocks(keys: DataFrame, most: int | None = None, most_pairs: int | None = None, fewest: int = 2) -> DataFrame:
+    """(key, id, n) of the blocks within the limits on members or on pairs."""
+    sizes = block_sizes(keys).where(F.col("n") >= fewest)
+    if most is not None:
+        sizes = sizes.where(F.col("n") <= most)
+    if most_pairs is not None:
+        sizes = sizes.where(F.expr("n * (n - 1) div 2") <= most_pairs)
+    return keys.join(sizes, "key")
+
+
+def pairs_in_blocks(keys: DataFrame, most: int | None = None, fewest: int = 2, most_pairs: int | None = None, counted: bool = False) -> DataFrame:
+    """Distinct pairs of records that share a block within the limits; ``counted``: with the number of
+    blocks shared and the size of the smallest."""
+    kept = kept_blocks(keys, most, most_pairs, fewest)
+    left, right = kept.select("key", "n", F.col("id").alias("id1")), kept.select("key", F.col("id").alias("id2"))
+    met = left.join(right, "key").where("id1 < id2")
+    if counted:
+        return met.groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.min("n").alias("smallest"))
+    return met.select("id1", "id2").distinct()
+
+
+def pairs_across(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct (id1, id2) of a left and a right record that share a block; ids of the two tables are apart.
+
+    ``most`` limits the members of a block in both tables together.
+    """
+    if most is not None:
+        sizes = block_sizes(left.select("key").union(right.select("key"))).where(F.col("n") <= most).select("key")
+        left = left.join(sizes, "key", "left_semi")
+    return left.select("key", F.col("id").alias("id1")).join(right.select("key", F.col("id").alias("id2")), "key").select("id1", "id2").distinct()
+
+
+def all_pairs(records: DataFrame, id_col: str, most: int = 1000) -> DataFrame:
+    """Every pair of a small table; more than ``most`` records are refused, since the result is their square."""
+    n = records.count()
+    if n > most:
+        raise ValueError(f"{n} records; all pairs are made of {most} at most")
+    a, b = records.select(F.col(id_col).alias("id1")), records.select(F.col(id_col).alias("id2"))
+    return a.join(F.broadcast(b), F.col("id1") < F.col("id2"))  # most rows, checked above
+
+
+def capped_pairs(keys: DataFrame, most: int = 50, greedy: bool = True) -> DataFrame:
+    """Pairs within blocks with at most ``most`` partners a record; each record is in one block.
+
+    Greedy: pairs in the order of their ids, each taken while both ends have room, one block a task. Else a
+    rank form in SQL terms: a record meets the ``most`` // 2 records that follow it in its block.
+    """
+    if not greedy:
+        place = keys.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+        ahead = place.select("key", F.col("id").alias("id1"), F.explode(F.sequence(F.col("r") + 1, F.col("r") + most // 2)).alias("r"))
+        return ahead.join(place.select("key", "r", F.col("id").alias("id2")), ["key", "r"]).select("id1", "id2")
+
+    def take(block: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(block["id"]))
+        room, out = dict.fromkeys(ids, most), []
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                if not room[a]:
+                    break
+                if room[b]:
+                    room[a] -= 1
+                    room[b] -= 1
+                    out.append((a, b))
+        return pd.DataFrame(out, columns=["id1", "id2"])
+
+    return keys.groupBy("key").applyInPandas(take, "id1 long, id2 long")
+
+
+def soft_filter(pairs: DataFrame, records: DataFrame, id_col: str, year: Column, sex: Column, gap: int = 15) -> DataFrame:
+    """The pairs whose years, where both are known, differ by no more than ``gap``, and whose sexes, where both are, agree."""
+    side = lambda k: records.select(F.col(id_col).alias(f"id{k}"), year.alias(f"y{k}"), clean(sex).alias(f"s{k}"))
+    both = pairs.join(side(1), "id1").join(side(2), "id2")
+    far = F.coalesce(F.abs(F.col("y1") - F.col("y2")) > gap, F.lit(False))
+    other = F.coalesce(F.col("s1") != F.col("s2"), F.lit(False))
+    return both.where(~far & ~other).select("id1", "id2")
 
 
 def blocking_quality(candidates: DataFrame, truth: DataFrame, n_records: Column) -> DataFrame:
-    """n_candidates, n_true, n_captured, recall and reduction ratio; both inputs are (id1, id2), id1 < id2."""
-    both = candidates.join(truth, ["id1", "id2"], "left_semi").agg(F.count("*").alias("n_captured"))
+    """n_candidates, n_true, n_captured, recall and reduction ratio; pairs in any order of their ends count once."""
+    ends = lambda p: p.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).where("id1 <> id2").distinct()
+    candidates, truth = candidates.select("id1", "id2"), ends(truth)
+    both = ends(candidates).join(truth, ["id1", "id2"], "left_semi").agg(F.count("*").alias("n_captured"))
     sizes = candidates.agg(F.count("*").alias("n_candidates")).crossJoin(truth.agg(F.count("*").alias("n_true"))).crossJoin(both)  # one row each
     whole = n_records * (n_records - 1) / 2
     return sizes.select(
-        "n_candidates", "n_true", "n_captured", F.when(F.col("n_true") > 0, F.col("n_captured") / F.col("n_true")).otherwise(0.0).alias("recall"), (1 - F.col("n_candidates") / whole).alias("reduction_ratio")
+        "n_candidates",
+        "n_true",
+        "n_captured",
+        F.when(F.col("n_true") > 0, F.try_divide(F.col("n_captured"), F.col("n_true"))).otherwise(0.0).alias("recall"),
+        (1 - F.col("n_candidates") / whole).alias("reduction_ratio"),
     )
+
+
+def blocking_curve(keys: DataFrame, truth: DataFrame, n_records: int, sizes: tuple[int, ...]) -> DataFrame:
+    """(size, n_candidates, per_record, recall) for each limit on the size of a block.
+
+    One pass: a pair is a candidate at every limit from the size of its smallest shared block on.
+    """
+    smallest = pairs_in_blocks(keys, max(sizes), counted=True).select("id1", "id2", "smallest")
+    true = truth.select("id1", "id2", F.lit(1).alias("hit"))
+    marked = smallest.join(true, ["id1", "id2"], "left")
+    at = lambda s: F.col("smallest") <= s
+    counts = marked.agg(*(F.count_if(at(s)).alias(f"n{s}") for s in sizes), *(F.count_if(at(s) & F.col("hit").isNotNull()).alias(f"t{s}") for s in sizes))
+    one = counts.crossJoin(truth.agg(F.count("*").alias("n_true")))
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.col(f"n{s}").alias("n_candidates"), F.col(f"t{s}").alias("t")) for s in sizes)))
+    recall = F.when(F.col("n_true") > 0, F.try_divide(F.col("x.t"), F.col("n_true"))).otherwise(0.0)
+    return one.select("n_true", rows.alias("x")).select("x.size", "x.n_candidates", (F.col("x.n_candidates") / n_records).alias("per_record"), recall.alias("recall"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.evaluation import running_counts
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """(id1, id2), smaller id first, no self loops, no null ends, each edge once."""
@@ -38,8 +40,21 @@ def edge_status(edges: DataFrame, truth: DataFrame) -> DataFrame:
 def size_stats(clusters: DataFrame) -> DataFrame:
     """One row of n_clusters, singleton_rate, mean_size, p90_size, p99_size and max_size from (cluster_id, id)."""
     s = clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    q = lambda p: F.percentile("size", p).cast("long")
-    return s.agg(F.count("*").alias("n_clusters"), F.avg((F.col("size") == 1).cast("int")).alias("singleton_rate"), F.avg("size").alias("mean_size"), q(0.9).alias("p90_size"), q(0.99).alias("p99_size"), F.max("size").alias("max_size"))
+    by = s.groupBy("size").agg(F.count("*").alias("n"))  # quantiles of sizes from how often each occurs
+    end = by.select("size", "n", F.sum("n").over(Window.orderBy("size")).alias("end"))  # a row a size
+    at = lambda rank: F.min(F.when(F.col("end") > rank, F.col("size")))
+    total = by.agg(F.sum("n").alias("total"))
+    marks = end.crossJoin(F.broadcast(total))
+    spot = {q: F.lit(q) * (F.col("total") - 1) for q in (0.9, 0.99)}
+    got = marks.groupBy("total").agg(
+        F.sum("n").alias("n_clusters"),
+        (F.sum(F.when(F.col("size") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("singleton_rate"),
+        (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean_size"),
+        *(at(f(spot[q])).alias(f"{name}{int(q * 100)}") for q in spot for f, name in ((F.floor, "lo"), (F.ceil, "hi"))),
+        F.max("size").alias("max_size"),
+    )
+    whole = lambda q: (F.col(f"lo{int(q * 100)}") + (F.col(f"hi{int(q * 100)}") - F.col(f"lo{int(q * 100)}")) * (spot[q] - F.floor(spot[q]))).cast("long")
+    return got.select("n_clusters", "singleton_rate", "mean_size", whole(0.9).alias("p90_size"), whole(0.99).alias("p99_size"), "max_size")
 
 
 def purity(labelled: DataFrame) -> DataFrame:
@@ -60,25 +75,16 @@ def node_status(labelled: DataFrame) -> DataFrame:
     return labelled.join(top, "cluster_id", "left").select("cluster_id", "id", status.alias("status"))
 
 
-def running_counts(scored: DataFrame, ranges: int = 256) -> DataFrame:
-    """``scored`` with rank and tp of the order of falling score, then id; no task sorts more than a range of scores."""
-    part = scored.withColumn("part", F.floor(-F.col("score") * ranges))
-    base = part.groupBy("part").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    before = Window.orderBy("part")
-    base = base.select("part", (F.sum("n").over(before) - F.col("n")).alias("n0"), (F.sum("p").over(before) - F.col("p")).alias("p0"))
-    inside = Window.partitionBy("part").orderBy(F.col("score").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = part.select("*", F.count("*").over(inside).alias("r"), F.sum("label").over(inside).alias("t"))
-    return rows.join(F.broadcast(base), "part").withColumn("rank", F.col("r") + F.col("n0")).withColumn("tp", F.col("t") + F.col("p0")).drop("part", "r", "t", "n0", "p0")
-
-
 def average_precision(scored: DataFrame) -> DataFrame:
     """(ap) from (id, score, label); 0 without positives."""
     hit = F.when(F.col("label") == 1, F.col("tp") / F.col("rank"))
     return running_counts(scored).agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("ap"))
 
 
-def precision_at(scored: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, precision, recall) from the first max(ks) rows by falling score, then id."""
+def precision_at(scored: DataFrame, ks: list[int] | None = None) -> DataFrame:
+    """(k, precision, recall) from the first max(ks) rows by falling score, then id; without ks, k is the number of positives."""
+    if ks is None:
+        ks = [max(1, scored.agg(F.sum("label")).first()[0] or 0)]
     top = scored.orderBy(F.col("score").desc(), "id").limit(max(ks)).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
     total = scored.agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
     cuts = top.crossJoin(F.broadcast(total)).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")  # as many copies as there are ks

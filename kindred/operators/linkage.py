@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions.text import clean, sigmoid
+from kindred.functions.similarity import jaro_winkler
+from kindred.functions.text import SOUNDEX_CODES, SOUNDEX_LETTERS, clean, sigmoid
+from kindred.operators.ranks import ordered_rank, quantiles
 
 UNKNOWN = 0.5
 FLOOR = 1e-10
@@ -43,7 +45,7 @@ def rule(kind: str, a: Column, b: Column, **params: float) -> Column:
 
 def rule_soundex(x: Column) -> Column:
     """First letter and up to three codes; a code is left out if it equals the last one written."""
-    coded = F.translate(F.upper(x), "BFPVCGJKQSXZDTLMNR", "111122222222334556")
+    coded = F.translate(F.upper(x), SOUNDEX_LETTERS, SOUNDEX_CODES)
     rest = F.filter(F.split(coded.substr(F.lit(2), F.length(x)), ""), lambda c: c.rlike("^[1-6]$"))
     runs = F.aggregate(rest, F.lit("").cast("string"), lambda out, c: F.when(F.substring(out, -1, 1) == c, out).otherwise(F.concat(out, c)))
     return F.rpad(F.concat(F.upper(x).substr(1, 1), runs).substr(1, 4), 4, "0")
@@ -57,6 +59,24 @@ def weighted_rules(rules: Sequence[tuple[Column, float]]) -> Column:
     return sum((s * w for s, w in rules[1:]), rules[0][0] * rules[0][1]) / total
 
 
+#: Fixed values: (field, kind, weight, limits) of the rules for census records.
+DEFAULT_RULES = (
+    ("nafn_norm", "exact", 3.0, {}),
+    ("first_name", "exact", 2.0, {}),
+    ("patronym", "exact", 1.5, {}),
+    ("surname", "exact", 1.5, {}),
+    ("birthyear", "numeric_within", 2.0, {"max_diff": 5}),
+    ("sex", "exact", 1.0, {}),
+    ("parish", "exact", 0.5, {}),
+    ("county", "exact", 0.5, {}),
+)
+
+
+def rules_score(rules: Sequence[tuple] = DEFAULT_RULES) -> Column:
+    """The weighted mean of (field, kind, weight, limits) rules over fields suffixed 1 and 2."""
+    return weighted_rules([(rule(kind, F.col(f"{f}1"), F.col(f"{f}2"), **limits), w) for f, kind, w, limits in rules])
+
+
 def agreement(a: Column, b: Column) -> Column:
     """missing, exact_match or mismatch."""
     x, y = (clean(F.lower(c.cast("string"))) for c in (a, b))
@@ -83,15 +103,64 @@ def fellegi_sunter_scores(pairs: DataFrame, fields: dict[str, Column], weights:
     return pairs.crossJoin(F.broadcast(table)).withColumn("llr", sum(parts[1:], parts[0])).withColumn("score", sigmoid(F.col("llr"))).drop("w")
 
 
+#: Closeness from which two strings agree, and the bounds of a rate of agreement.
+CLOSE = 0.85
+RATES = (0.01, 0.99)
+DEFAULT_RATES = (0.9, 0.1)
+
+
+def closeness_flags(fields: dict[str, tuple[Column, Column]], close: float = CLOSE) -> dict[str, Column]:
+    """Per field whether the values' Jaro-Winkler similarity is ``close``; a missing value doesn't agree."""
+    return {f: F.coalesce(jaro_winkler(a.cast("string"), b.cast("string")) >= close, F.lit(False)) for f, (a, b) in fields.items()}
+
+
+def equality_flags(fields: dict[str, tuple[Column, Column]]) -> dict[str, Column]:
+    """Per field whether the values are equal; a missing value doesn't agree."""
+    return {f: F.coalesce(a == b, F.lit(False)) for f, (a, b) in fields.items()}
+
+
+def agreement_rates(flagged: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, m, u): rates of agreement among matches and others, kept within RATES, from (label, one boolean a field).
+
+    One aggregation; without pairs of a class its DEFAULT_RATES stand.
+    """
+    low, high = RATES
+    rate = lambda f, k, default: F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.avg(F.when(F.col("label") == k, F.col(f).cast("double"))), F.lit(default))))
+    one = flagged.agg(*(F.struct(F.lit(f).alias("field"), rate(f, 1, DEFAULT_RATES[0]).alias("m"), rate(f, 0, DEFAULT_RATES[1]).alias("u")).alias(f) for f in fields))
+    return one.select(F.explode(F.array(*fields)).alias("x")).select("x.*")
+
+
+def random_match_rates(records: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, u): how often two records drawn at random agree on a field, exactly, from the counts of its values."""
+    out = None
+    for f in fields:
+        n = records.where(F.col(f).isNotNull()).groupBy(f).agg(F.count("*").alias("n"))
+        pairs = records.agg((F.count("*") * (F.count("*") - 1) / 2).alias("all"))
+        row = n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same")).crossJoin(pairs).select(F.lit(f).alias("field"), F.try_divide(F.coalesce("same", F.lit(0.0)), F.col("all")).alias("u"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def agreement_scores(flagged: DataFrame, rates: DataFrame) -> DataFrame:
+    """``flagged`` with llr: ln(m / u) for each field that agrees, ln((1 - m) / (1 - u)) for each other."""
+    table = rates.agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("m", "u")))).alias("w"))  # a row a field
+    total = F.lit(0.0)
+    for r in rates.select("field").collect():
+        x = F.element_at("w", r["field"])
+        total = total + F.when(F.col(r["field"]), F.ln(x["m"] / x["u"])).otherwise(F.ln((1 - x["m"]) / (1 - x["u"])))
+    return flagged.crossJoin(F.broadcast(table)).withColumn("llr", total).drop("w")
+
+
 def median_midpoint(scored: DataFrame, default: float = 0.5) -> DataFrame:
     """(threshold): midway between the class medians; one class only: 0.9 or 1.1 times its median."""
-    pos, neg = (F.percentile(F.when(F.col("label") == k, F.col("score")), 0.5) for k in (1, 0))
-    m = scored.agg(pos.alias("pos"), neg.alias("neg"))
-    return m.select(F.coalesce((F.col("pos") + F.col("neg")) / 2, F.col("pos") * 0.9, F.col("neg") * 1.1, F.lit(default)).alias("threshold"))
+    m = quantiles(scored, "score", [0.5], ["label"])
+    of = lambda k: F.max(F.when(F.col("label") == k, F.col("x")))
+    pos, neg = F.col("pos"), F.col("neg")
+    return m.agg(of(1).alias("pos"), of(0).alias("neg")).select(F.coalesce((pos + neg) / 2, pos * 0.9, neg * 1.1, F.lit(default)).alias("threshold"))
 
 
-def f1_grid(scored: DataFrame, low: float = 0.1, high: float = 0.9, points: int = 81, last_best: bool = False) -> DataFrame:
-    """(threshold, f1): the best of an even grid, the first or the last among equals.
+def f1_grid(scored: DataFrame, low: float = 0.1, high: float = 0.9, points: int = 81, last_best: bool = False, metric: str = "f1") -> DataFrame:
+    """(threshold, value): the best of an even grid by f1, precision, recall or accuracy, the first or the last among equals.
 
     One pass counts scores between grid points; the sums from above go over ``points`` rows.
     """
@@ -100,34 +169,72 @@ def f1_grid(scored: DataFrame, low: float = 0.1, high: float = 0.9, points: int
     cell = scored.groupBy(at.alias("i")).agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     grid = scored.sparkSession.range(points).select(F.col("id").alias("i"))
     every = cell.join(grid, "i", "full").na.fill(0)
-    above = Window.orderBy(F.col("i").desc())
-    sums = every.select("i", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(Window.partitionBy()).alias("pos")).where("i >= 0")
-    f1 = F.when(F.col("tp") + F.col("fp") + F.col("pos") > 0, 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos"))).otherwise(0.0)
+    above, all_ = Window.orderBy(F.col("i").desc()), Window.partitionBy()
+    sums = every.select("i", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(all_).alias("pos"), F.sum("n").over(all_).alias("neg")).where("i >= 0")
+    tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
+    value = {"f1": F.try_divide(2 * tp, tp + fp + pos), "precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, pos), "accuracy": F.try_divide(tp + neg - fp, pos + neg)}[metric]
     order = F.col("i").desc() if last_best else F.col("i")
-    return sums.select((low + F.col("i") * step).alias("threshold"), f1.alias("f1"), "i").orderBy(F.round("f1", 12).desc(), order).limit(1).select("threshold", "f1")
+    named = sums.select((low + F.col("i") * step).alias("threshold"), F.coalesce(value, F.lit(0.0)).alias(metric), "i")
+    return named.orderBy(F.round(metric, 12).desc(), order).limit(1).select("threshold", metric)
 
 
-def fit_platt(scored: DataFrame, rounds: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
-    """(a, b) of sigmoid(a * score + b) by half Newton steps; each is one aggregation of five sums."""
-    rate, n = scored.agg(F.avg("label"), F.count("*")).first()
-    if not n:
+#: The grids (low, high, points, last among equals) that the models choose a threshold from.
+GRIDS = {"judgments": (0.1, 0.9, 81, False), "evaluation": (0.05, 0.95, 181, True), "metric": (0.0, 1.0, 101, False), "embedding": (0.3, 0.9, 25, False)}
+
+
+def grid_threshold(scored: DataFrame, grid: str, metric: str = "f1") -> DataFrame:
+    """The best threshold of one of GRIDS."""
+    low, high, points, last = GRIDS[grid]
+    return f1_grid(scored, low, high, points, last, metric)
+
+
+def span_threshold(scored: DataFrame, points: int = 100) -> DataFrame:
+    """(threshold, f1): the best of an even grid from the lowest to the highest score, the first among equals."""
+    ends = scored.agg(F.min("score"), F.max("score")).first()
+    if ends[0] is None or ends[0] == ends[1]:
+        return scored.sparkSession.createDataFrame([(0.0 if ends[0] is None else float(ends[0]), 0.0)], "threshold double, f1 double")
+    return f1_grid(scored, float(ends[0]), float(ends[1]), points)
+
+
+def calibrated_predictions(scored: DataFrame, threshold: float = 0.5, column: str = "calibrated") -> DataFrame:
+    """``scored`` with prediction: 1 where the calibrated score reaches the threshold."""
+    return scored.withColumn("prediction", (F.col(column) >= threshold).cast("int"))
+
+
+def fixed_threshold(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``scored`` with calibrated, the score itself, and prediction at a threshold that nothing is fitted for."""
+    return calibrated_predictions(scored.withColumn("calibrated", F.col("score")), threshold)
+
+
+#: Fixed values of the sigmoid fit: rounds, weight decay of the slope, share of a Newton step, and where it stops.
+PLATT = {"rounds": 50, "ridge": 1e-3, "step": 0.5, "still": 1e-8, "flat": 1e-12, "steepest": 50.0}
+
+
+def fit_platt(scored: DataFrame) -> tuple[float, float]:
+    """(a, b) that make sigmoid(a * score + b) likeliest, by damped Newton steps from a = 0 and the log odds of the labels.
+
+    Each step is one aggregation: with x = (score, 1), the gradient is the sum of (p - label) x and the
+    curvature the sum of p (1 - p) x x'. Labels of one class, or none, leave (0, 0).
+    """
+    total = scored.agg(F.avg("label").alias("rate"), F.count("*").alias("n")).first()
+    if not total["n"] or total["rate"] in (0.0, 1.0):
         return 0.0, 0.0
-    rate = min(max(rate, 1e-6), 1 - 1e-6)
-    a, b = 0.0, float(np.log(rate / (1 - rate)))
-    s, y = F.col("score"), F.col("label")
-    for _ in range(rounds):
-        p = sigmoid(F.least(F.greatest(a * s + b, F.lit(-50.0)), F.lit(50.0)))
-        w = p * (1 - p)
-        ga, gb, haa, hbb, hab = scored.agg(*(F.sum(c) for c in ((p - y) * s, p - y, w * s * s, w, w * s))).first()
-        ga, haa, hbb = ga + ridge * a, haa + ridge, hbb + ridge
-        det = haa * hbb - hab * hab
-        if det <= 1e-12:
+    theta = np.array([0.0, np.log(total["rate"] / (1 - total["rate"]))])
+    x = (F.col("score"), F.lit(1.0))
+    decay = np.array([PLATT["ridge"], 0.0])
+    for _ in range(PLATT["rounds"]):
+        z = F.greatest(F.lit(-PLATT["steepest"]), F.least(F.lit(PLATT["steepest"]), float(theta[0]) * x[0] + float(theta[1])))
+        p = sigmoid(z)
+        sums = [F.sum((p - F.col("label")) * xi) for xi in x] + [F.sum(p * (1 - p) * xi * xj) for xi in x for xj in x]
+        row = np.array(scored.agg(*sums).first(), float)
+        gradient, curvature = row[:2] + decay * theta, row[2:].reshape(2, 2) + PLATT["ridge"] * np.eye(2)
+        if np.linalg.det(curvature) <= PLATT["flat"]:
             break
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a - da / 2, b - db / 2
-        if abs(da) + abs(db) < 1e-8:
+        move = np.linalg.solve(curvature, gradient)
+        theta = theta - PLATT["step"] * move
+        if np.abs(move).sum() < PLATT["still"]:
             break
-    return a, b
+    return float(theta[0]), float(theta[1])
 
 
 def _pool(rows: pd.DataFrame) -> pd.DataFrame:
@@ -152,16 +259,35 @@ def fit_isotonic(scored: DataFrame, ranges: int = 256) -> DataFrame:
     return first.groupBy().applyInPandas(_pool, "x double, s double, n double").select("x", (F.col("s") / F.col("n")).alias("y"))
 
 
-def apply_isotonic(scored: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``scored`` with calibrated: a score takes the first block whose right end lies above it, else the last.
+#: Blocks that travel as two arrays; more of them meet the scores in a join by range.
+FEW_BLOCKS = 1 << 14
 
-    Blocks are no more than distinct scores; they travel as two arrays.
-    """
-    table = blocks.orderBy("x").toPandas()
-    x, y = table["x"].to_numpy(), table["y"].to_numpy()
 
-    @F.pandas_udf("double")
-    def look_up(s: pd.Series) -> pd.Series:
-        return pd.Series(y[np.minimum(np.searchsorted(x, s.to_numpy(), side="right"), len(y) - 1)])
+def apply_isotonic(scored: DataFrame, blocks: DataFrame, ranges: int = 1024) -> DataFrame:
+    """``scored`` with calibrated: a score takes the first block whose right end lies above it, else the last.
 
-    return scored.withColumn("calibrated", look_up("score") if len(y) else F.col("score"))
+    Few blocks fold into the rows; otherwise each block covers the ranges of scores it meets, and a score
+    finds it by an equal range.
+    """
+    few = blocks.orderBy("x").limit(FEW_BLOCKS + 1).collect()
+    if not few:
+        return scored.withColumn("calibrated", F.col("score"))
+    if len(few) <= FEW_BLOCKS:
+        x, y = [float(b["x"]) for b in few], [float(b["y"]) for b in few]
+
+        @F.pandas_udf("double")
+        def look_up(s: pd.Series) -> pd.Series:
+            return pd.Series(np.array(y)[np.minimum(np.searchsorted(x, s.to_numpy(), side="right"), len(y) - 1)])
+
+        return scored.withColumn("calibrated", look_up("score"))
+    rank = ordered_rank(blocks, "x", name="i")
+    before = rank.select((F.col("i") + 1).alias("i"), F.col("x").alias("__from"))
+    cut = lambda c: F.floor(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), c)) * ranges)
+    last = rank.agg(F.max("x").alias("__top"), F.max_by("y", "x").alias("__last"))
+    spans = rank.join(before, "i", "left").select("__from", F.col("x").alias("__to"), F.col("y").alias("__y"))
+    spans = spans.withColumn("__from", F.coalesce("__from", F.col("__to") - 1e-9)).withColumn("__b", F.explode(F.sequence(cut(F.col("__from")), cut(F.col("__to")))))
+    low = rank.agg(F.min("x").alias("__low"), F.min_by("y", "x").alias("__first"))
+    rows = scored.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(low)).withColumn("__k", F.monotonically_increasing_id())
+    found = rows.withColumn("__b", cut(F.col("score"))).join(spans, "__b", "left").where("__y is null or (score >= __from and score < __to) or score < __low or score >= __top")
+    value = F.when(F.col("score") >= F.col("__top"), F.col("__last")).when(F.col("score") < F.col("__low"), F.col("__first")).otherwise(F.col("__y"))
+    return found.withColumn("calibrated", value).dropDuplicates(["__k"]).drop("__b", "__from", "__to", "__y", "__top", "__last", "__low", "__first", "__k")

@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import text as tx
-from kindred.operators import blocking, evaluation, scoring
+from kindred.operators import blocking, evaluation, pairs, scoring
 from kindred.operators.components import connected_components
+from kindred.plans.shared import ORACLE_SQL, QUERIES, query, rounded, table  # noqa: F401
 from kindred.plans.stage import staged
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _r(x: Column | str, name: str) -> Column:
-    return F.round(x if isinstance(x, Column) else F.col(x), 6).alias(name)
-
-
+_t, _r = table, rounded
 _TOK = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) >= 2))"
 _CAND = f"""tok AS (SELECT doc_id, unnest({_TOK}) AS k FROM documents),
  df AS (SELECT k FROM tok GROUP BY k HAVING count(*) BETWEEN 2 AND 20),
@@ -55,16 +36,30 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """(id1, id2, label, judgments) of the candidates; label 1 from a token Jaccard of 0.8 on.
+
+    Candidates come with the number of rare tokens that they share. The rare tokens that two records don't
+    share are no more than all those they don't, which at that similarity are a ninth of both sets'
+    sizes at most; only pairs that pass this bound meet the token arrays.
+    """
     docs = _t(spark, d, "documents")
-    side = docs.select("doc_id", F.transform(tx.tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("ts"), "lang", "source", F.substring("text", 1, 24).alias("p"), "n_chars")
-    a, b = (side.select(F.col("doc_id").alias(f"id{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("ts", "lang", "source", "p", "n_chars"))) for k in (1, 2))
+    words = F.transform(tx.tokens(F.col("text")), lambda t: F.xxhash64(t))
+    sized = staged(docs.select("doc_id", words.alias("ts"), "lang", "source", F.substring("text", 1, 24).alias("p"), "n_chars"), "sized")
+    keys = staged(blocking.kept_blocks(sized.select(F.col("doc_id").alias("id"), F.explode("ts").alias("key")), 20), "blocks")
+    rare = keys.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("rare"))
+    left, right = keys.select("key", F.col("id").alias("id1")), keys.select("key", F.col("id").alias("id2"))
+    met = left.join(right, "key").where("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("shared"))
+    side = sized.join(rare, "doc_id").select("doc_id", F.size("ts").alias("size"), "rare", "lang", "source", "p", "n_chars")
+    a, b = (side.select(*(F.col(c).alias("id" + k if c == "doc_id" else c + k) for c in side.columns)) for k in "12")
     gap, most = F.abs(F.col("n_chars1") - F.col("n_chars2")), F.greatest("n_chars1", "n_chars2")
     same = [scoring.same_or_different(n, F.col(f"{c}1"), F.col(f"{c}2")) for n, c in (("lang", "lang"), ("source", "source"), ("prefix", "p"))]
     length = F.when(gap <= 0.05 * most, "len_close").when(gap <= 0.2 * most, "len_near").otherwise("len_far")
-    label = F.when(tx.jaccard(F.col("ts1"), F.col("ts2")) >= 0.8, 1).otherwise(0)
-    pairs = _candidates(docs).join(a, "id1").join(b, "id2")
+    hopeful = 9 * (F.col("rare1") + F.col("rare2") - 2 * F.col("shared")) <= F.col("size1") + F.col("size2")
     # Read several times (weights, prior, scores), so written once.
-    return staged(pairs.select("id1", "id2", label.alias("label"), F.array_compact(F.array(*same, length)).alias("judgments")), "judged")
+    rows = staged(met.join(a, "id1").join(b, "id2").select("id1", "id2", hopeful.alias("hopeful"), F.array_compact(F.array(*same, length)).alias("judgments")), "compared")
+    x, y = (sized.select(F.col("doc_id").alias(f"id{k}"), F.col("ts").alias(f"ts{k}")) for k in (1, 2))
+    alike = rows.where("hopeful").select("id1", "id2").join(x, "id1").join(y, "id2").where(tx.jaccard(F.col("ts1"), F.col("ts2")) >= 0.8).select("id1", "id2", F.lit(1).alias("label"))
+    return staged(rows.join(alike, ["id1", "id2"], "left").select("id1", "id2", F.coalesce("label", F.lit(0)).alias("label"), "judgments"), "judged")
 
 
 @query(f"WITH {_JUDGED}, c AS (SELECT {_CONF} FROM sc) SELECT tp, fp, fn, tn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy FROM c")
@@ -95,10 +90,9 @@ def token_block_stats(spark, d):
     return blocking.block_sizes(blocking.token_keys(_t(spark, d, "documents"), "doc_id", F.col("text"))).groupBy("n").agg(F.count("*").alias("n_blocks"))
 
 
-@query("WITH k AS (SELECT p_partkey AS id, substr(lower(p_name), 1, 2) || '|' || CAST(CAST(floor(p_size / 5.0) AS BIGINT) AS VARCHAR) AS key FROM part) SELECT a.key, count(*) AS n_pairs FROM k a JOIN k b ON a.key = b.key AND a.id < b.id GROUP BY a.key")
+@query("WITH k AS (SELECT p_partkey AS id, substr(lower(p_name), 1, 2) || '|' || CAST(CAST(floor(p_size / 5.0) AS BIGINT) AS VARCHAR) AS key FROM part) SELECT a.id AS id1, b.id AS id2 FROM k a JOIN k b ON a.key = b.key AND a.id < b.id")
 def prefix_block_pairs(spark, d):
-    sizes = blocking.block_sizes(blocking.prefix_keys(_t(spark, d, "part"), "p_partkey", F.col("p_name"), F.col("p_size")))
-    return sizes.where("n > 1").select("key", F.expr("n * (n - 1) div 2").alias("n_pairs"))
+    return blocking.pairs_in_blocks(blocking.prefix_keys(_t(spark, d, "part"), "p_partkey", [F.lit(" "), F.col("p_name")], F.col("p_size")))
 
 
 @query("WITH g AS (SELECT c_custkey AS id, r_name AS r, n_name AS n, c_mktsegment AS s FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT key, count(*) AS n FROM (SELECT id, unnest([r, r || '|' || n, r || '|' || n || '|' || s]) AS key FROM g) GROUP BY key")
@@ -108,6 +102,13 @@ def geo_prefix_blocks(spark, d):
     return blocking.block_sizes(blocking.hierarchy_keys(people, "c_custkey", [F.col("r_name"), F.col("n_name"), F.col("c_mktsegment")]))
 
 
+@query("SELECT a.c_custkey AS id1, b.c_custkey AS id2 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey")
+def geo_block_pairs(spark, d):
+    people = _t(spark, d, "customer")
+    keys = blocking.hierarchy_keys(people, "c_custkey", [F.col("c_nationkey"), F.col("c_mktsegment")])
+    return blocking.pairs_in_blocks(keys.where(F.col("key").contains("|")), 5000)
+
+
 @query(f"WITH {_CAND}, tr AS (SELECT a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id), x AS (SELECT (SELECT count(*) FROM cand) AS n_candidates, (SELECT count(*) FROM tr) AS n_true, (SELECT count(*) FROM cand JOIN tr USING (id1, id2)) AS n_captured, (SELECT count(*) FROM documents) AS n) SELECT n_candidates, n_true, n_captured, round(n_captured / CAST(n_true AS DOUBLE), 6) AS recall, round(1 - n_candidates / (n * (n - 1) / 2.0), 6) AS reduction_ratio FROM x")
 def blocking_recall(spark, d):
     docs = _t(spark, d, "documents")
@@ -125,8 +126,8 @@ def truth_pairs(spark, d):
 @query("SELECT a.n_name AS n1, b.n_name AS n2 FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def allpairs_small(spark, d):
     n = _t(spark, d, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("k1"), F.col("n_name").alias("n1")), n.select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("n2"))
-    return a.join(F.broadcast(b), F.col("k1") < F.col("k2")).select("n1", "n2")  # 25 nations
+    met = pairs.attach(blocking.all_pairs(n, "n_nationkey"), n, "n_nationkey", ["n_name"])
+    return met.select(F.col("n_name1").alias("n1"), F.col("n_name2").alias("n2"))
 
 
 @query("SELECT CASE WHEN year(o_orderdate) < 1994 THEN 'train' WHEN year(o_orderdate) <= 1996 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1")
@@ -151,8 +152,9 @@ _EXACT = "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS component
 
 @query(_EXACT)
 def connected_components_exact(spark, d):
-    edges = truth_pairs(spark, d)
-    return connected_components(edges, nodes=_t(spark, d, "documents"), node="doc_id")
+    docs = _t(spark, d, "documents")
+    stars = pairs.cluster_stars(docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("cluster")))
+    return connected_components(stars, nodes=docs, node="doc_id")
 
 
 @query(f"WITH c AS (SELECT component_id, count(*) AS size FROM ({_EXACT}) GROUP BY 1) SELECT row_number() OVER (ORDER BY size DESC, component_id) - 1 AS cluster_id, size, component_id AS smallest FROM c")
@@ -173,11 +175,6 @@ def auc_ties_averaged(spark, d):
     return evaluation.roc_auc(scored).select(_r("auc", "auc"))
 
 
-@query("WITH e AS (SELECT l_partkey AS a FROM lineitem UNION ALL SELECT l_suppkey + 1000000000 FROM lineitem) SELECT a AS id, count(*) AS degree FROM e GROUP BY a ORDER BY degree DESC, id LIMIT 50")
-def degree_prune(spark, d):
-    return evaluation.degree_top_k(_t(spark, d, "lineitem").select(F.col("l_partkey").alias("id1"), (F.col("l_suppkey") + 1000000000).alias("id2")), 50)
-
-
 @query("SELECT o_orderpriority AS grp, k, n, round((k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round((k / n + 1.9208 / n + 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS high FROM (SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1)")
 def wilson_intervals(spark, d):
     c = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("k"), F.count("*").cast("double").alias("n"))
@@ -191,19 +188,3 @@ def coverage(spark, d):
     return _t(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n_records"), F.countDistinct("user_id").alias("n_users"), F.round(100.0 * hit / F.count("*"), 2).alias("rate"))
 
 
-@query("WITH n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), t AS (SELECT sum(n) AS total FROM n) SELECT count(*) AS distinct_names, round(-sum(n / total * log2(n / total + 1e-10)), 6) AS entropy FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(total AS DOUBLE) AS total FROM n, t)")
-def ambiguity_entropy(spark, d):
-    n = _t(spark, d, "part").groupBy("p_name").agg(F.count("*").cast("double").alias("n"))
-    p = F.col("n") / F.col("total")
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).agg(F.count("*").alias("distinct_names"), _r(-F.sum(p * F.log2(p + 1e-10)), "entropy"))
-
-
-@query("SELECT size, count(*) AS n FROM (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1) GROUP BY size")
-def cluster_size_distribution(spark, d):
-    return _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
-
-
-@query("SELECT c_mktsegment AS grp, count(*) AS n, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std, min(c_acctbal) AS low, round(quantile_cont(c_acctbal, 0.5), 6) AS median, max(c_acctbal) AS high FROM customer GROUP BY 1")
-def describe_numeric(spark, d):
-    x = F.col("c_acctbal")
-    return _t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.count("*").alias("n"), _r(F.avg(x), "mean"), _r(F.stddev_samp(x), "std"), F.min(x).alias("low"), _r(F.percentile(x, 0.5), "median"), F.max(x).alias("high"))

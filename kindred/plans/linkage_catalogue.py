@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import text as tx
-from kindred.operators import blocking, clusters, linkage
-from kindred.plans.catalogue import _CAND, _TOK, QUERIES, _r, _t, query, truth_pairs
+from kindred.operators import blocking, clusters, linkage, pairs
+from kindred.plans.catalogue import _CAND, _r, _t, query, truth_pairs
 from kindred.plans.stage import staged
 
 _PAIRS = """pr AS (SELECT a.p_partkey AS id1, b.p_partkey AS id2, a.p_name AS n1, b.p_name AS n2, nullif(a.p_brand, 'Brand#1') AS b1, nullif(b.p_brand, 'Brand#1') AS b2,
@@ -67,6 +67,7 @@ def f1_grid_threshold(spark, d):
     return linkage.f1_grid(_ruled(spark, d)).select(_r("threshold", "threshold"), _r("f1", "f1"))
 
 
+@query()
 def platt_calibration(spark, d):
     scored = staged(_ruled(spark, d).select("score", "label"), "scores")
     a, b = linkage.fit_platt(scored)
@@ -154,26 +155,10 @@ def missingness_rollup(spark, d):
     return docs.rollup("lang", "source").agg(F.count("*").alias("n"), _r(F.avg(F.when(F.col("quality").isNull(), 1.0).otherwise(0.0)), "missing"))
 
 
-_SIZES = (5, 10, 20)
-
-
-@query(f"WITH tok AS (SELECT doc_id, unnest({_TOK}) AS k FROM documents), df AS (SELECT k, count(*) AS n FROM tok GROUP BY k HAVING count(*) BETWEEN 2 AND 20), b AS (SELECT x.doc_id AS id1, y.doc_id AS id2, min(n) AS n FROM tok x JOIN df USING (k) JOIN tok y USING (k) WHERE x.doc_id < y.doc_id GROUP BY 1, 2) SELECT size, count(*) FILTER (WHERE n <= size) AS n_candidates FROM b, (SELECT unnest([5, 10, 20]) AS size) GROUP BY size")
-def blocking_curve(spark, d):
-    keys = blocking.token_keys(_t(spark, d, "documents"), "doc_id", F.col("text"))
-    kept = keys.join(blocking.block_sizes(keys).where(F.col("n").between(2, max(_SIZES))), "key")
-    left, right = kept.select("key", "n", F.col("id").alias("id1")), kept.select("key", F.col("id").alias("id2"))
-    smallest = left.join(right, "key").where("id1 < id2").groupBy("id1", "id2").agg(F.min("n").alias("n"))
-    counts = smallest.agg(*(F.count_if(F.col("n") <= s).alias(str(s)) for s in _SIZES))
-    return counts.select(F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.col(str(s)).alias("n_candidates")) for s in _SIZES))).alias("x")).select("x.*")
-
-
 @query(f"WITH {_CAND}, tr AS (SELECT a.doc_id AS id1, b.doc_id AS id2 FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id) SELECT id1, id2, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, id1, id2) AS r, sum(label) OVER () AS pos FROM (SELECT c.id1, c.id2, (t.id1 IS NOT NULL)::INT AS label, (c.id1 * 40503 + c.id2 * 2654435761 + 7) % 2147483648 AS h FROM cand c LEFT JOIN tr t ON c.id1 = t.id1 AND c.id2 = t.id2)) WHERE label = 1 OR r <= 2 * pos")
 def hard_negatives(spark, d):
     cand = blocking.pairs_in_blocks(blocking.token_keys(_t(spark, d, "documents"), "doc_id", F.col("text")), 20)
-    marked = cand.join(truth_pairs(spark, d).withColumn("label", F.lit(1)), ["id1", "id2"], "left").na.fill(0, ["label"])
-    marked = staged(marked.withColumn("h", F.expr("(id1 * 40503 + id2 * 2654435761 + 7) % 2147483648")), "candidates")
-    pos = marked.agg(F.sum("label")).first()[0] or 0
-    return marked.where("label = 1").unionByName(marked.where("label = 0").orderBy("h", "id1", "id2").limit(2 * pos)).select("id1", "id2", "label")
+    return pairs.hard_negatives(staged(cand, "candidates"), truth_pairs(spark, d)).select("id1", "id2", "label")
 
 
 @query("WITH r AS (SELECT p_partkey AS id, (p_partkey * 2654435761 + 42) % 2147483648 AS h FROM part) SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS split, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT id, h / 2147483648.0 AS u FROM r) GROUP BY 1")
@@ -185,11 +170,6 @@ def hash_split(spark, d):
 
 @query("SELECT a.c_custkey AS id1, b.c_custkey AS id2 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment <> b.c_mktsegment AND abs(a.c_acctbal - b.c_acctbal) <= 50 AND a.c_custkey < b.c_custkey")
 def band_negatives(spark, d):
-    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal", F.floor(F.col("c_acctbal") / 50).alias("w"))
-    a = c.select("c_nationkey", F.col("c_custkey").alias("id1"), F.col("c_mktsegment").alias("s1"), F.col("c_acctbal").alias("x1"), F.explode(F.array(F.col("w") - 1, "w", F.col("w") + 1)).alias("w"))
-    b = c.select("c_nationkey", "w", F.col("c_custkey").alias("id2"), F.col("c_mktsegment").alias("s2"), F.col("c_acctbal").alias("x2"))
-    return a.join(b, ["c_nationkey", "w"]).where("id1 < id2 AND s1 <> s2 AND abs(x1 - x2) <= 50").select("id1", "id2")
-
-
-#: Iterative: no SQL, tested against known coefficients.
-QUERIES["platt_calibration"] = platt_calibration
+    head = F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("text")
+    rows = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), head, F.col("c_acctbal").alias("number"), F.col("c_mktsegment").alias("cluster"))
+    return pairs.plausible_negatives(rows, 50)
