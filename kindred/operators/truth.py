@@ -93,18 +93,25 @@ def pattern_scores(judged: DataFrame, pool: DataFrame, n_patterns: int = 10, k:
     more = pool.limit(half + 1).agg((F.count("*") > half).alias("more"))
     low = place.orderBy(F.col("e"), F.col("text").desc()).limit(half).withColumn("side", F.lit(1)).crossJoin(F.broadcast(more)).where("more").drop("more")
     order = F.row_number().over(Window.orderBy("side", F.col("e").desc(), "text"))
-    some = top.unionByName(low).withColumn("i", order)
-    one = some.agg(F.sort_array(F.collect_list(F.struct("i", "pattern", "f", "c"))).alias("pool"))  # n_patterns entries
-
-    def step(acc: Column, p: Column) -> Column:
+    unit, full = (1.0, 1e6) if cap is not None else (k, 10 * k)
+    weight = F.when(F.col("c") < 1, F.try_divide(F.col("c") * unit, 1 - F.col("c"))).otherwise(full)
+    # Evidence as it is after a revision: rescaled where confidence is capped or counts in other units.
+    held = (lambda t: F.least(t / k, F.lit(cap / (1 - cap)))) if cap is not None else (lambda t: t)
+    some = top.unionByName(low).withColumn("i", order).select("i", "pattern", "f", (held(2 * weight) / 2).alias("u"))
+    one = some.agg(F.sort_array(F.collect_list(F.struct("i", "pattern", "f", "u"))).alias("pool"))  # n_patterns entries
+
+    def seen(p: Column) -> Column:
         longest = F.greatest(F.size("judgments"), F.size(p["pattern"]))
-        alike = F.size(F.array_intersect(F.col("judgments"), p["pattern"])) / longest
-        own = truth(p["f"], p["c"])
-        seen = revision(truth(alike, p["c"]), own, k, cap)
-        both = revision(truth(acc["f"], acc["c"]), seen, k, cap)
-        first = F.struct(seen["f"].alias("f"), seen["c"].alias("c"), F.lit(True).alias("any"))
-        return F.when(longest == 0, acc).when(acc["any"], F.struct(both["f"].alias("f"), both["c"].alias("c"), F.lit(True).alias("any"))).otherwise(first)
-
-    zero = F.struct(F.lit(0.5).alias("f"), F.lit(0.0).alias("c"), F.lit(False).alias("any"))
-    out = judged.crossJoin(F.broadcast(one)).withColumn("t", F.aggregate("pool", zero, step)).drop("pool")
-    return out.withColumns({"f": F.col("t.f"), "c": F.col("t.c"), "score": expectation(F.col("t"))}).drop("t")
+        alike = F.try_divide(F.size(F.array_intersect(F.col("judgments"), p["pattern"])), longest)
+        return F.struct(((alike + p["f"]) * p["u"]).alias("p"), (2 * p["u"]).alias("t"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["t"] + x["t"]
+        share = F.when(acc["t"] == 0, F.lit(1.0)).otherwise(held(total) / total)
+        return F.struct(((acc["p"] + x["p"]) * share).alias("p"), (total * share).alias("t"))
+
+    parts = F.filter(F.transform("pool", seen), lambda x: x["p"].isNotNull())
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("t"))
+    out = judged.crossJoin(F.broadcast(one)).withColumn("t", F.aggregate(parts, zero, step)).drop("pool")
+    f, c = F.coalesce(F.try_divide(F.col("t.p"), F.col("t.t")), F.lit(0.5)), F.col("t.t") / (F.col("t.t") + unit)
+    return out.withColumns({"f": f, "c": c}).withColumn("score", F.col("c") * (F.col("f") - 0.5) + 0.5).drop("t")

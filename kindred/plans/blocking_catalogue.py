@@ -138,11 +138,11 @@ def log_values(spark, d):
     return m.select("event_id", F.col("m")["loss"].alias("loss"), rounded(F.col("m")["acc"], "acc", 9), F.col("m")["user"].alias("user_id"))
 
 
-@query(f"WITH {PEOPLE_SQL} SELECT id, first_name || ' ' || patronym || chr(10) || '(' || coalesce(CAST(birthyear AS VARCHAR), '') || ') [#' || id || ']' AS label, CASE WHEN id < 1024 THEN id || '.0 B' ELSE printf('%.1f KB', id / 1024.0) END AS bytes, printf('%.1f%%', 100.0 * (birthyear / 2000.0)) AS share, round(ln((birthyear / 2000.0) / (1 - birthyear / 2000.0)), 9) AS odds FROM people WHERE birthyear IS NOT NULL")
+@query(f"WITH {PEOPLE_SQL} SELECT id, first_name || ' ' || patronym || chr(10) || '(' || coalesce(CAST(birthyear AS VARCHAR), '') || ') [#' || id || ']' AS label, CASE WHEN id < 512 THEN 2 * id + 1 || '.0 B' ELSE printf('%.1f KB', (2 * id + 1) / 1024.0) END AS bytes, printf('%.1f%%', 100.0 * (birthyear / 2048.0)) AS share, round(ln((birthyear / 2048.0) / (1 - birthyear / 2048.0)), 9) AS odds FROM people WHERE birthyear IS NOT NULL")
 def text_labels(spark, d):
     p = people(spark, d).where("birthyear is not null")
-    share = F.col("birthyear") / 2000
-    return p.select("id", tx.person_label(F.col("first_name"), F.col("patronym"), F.col("surname"), F.col("birthyear"), F.col("id")).alias("label"), tx.human_bytes(F.col("id")).alias("bytes"), tx.percent(share).alias("share"), rounded(tx.logit(share), "odds", 9))
+    share = F.col("birthyear") / 2048
+    return p.select("id", tx.person_label(F.col("first_name"), F.col("patronym"), F.col("surname"), F.col("birthyear"), F.col("id")).alias("label"), tx.human_bytes(2 * F.col("id") + 1).alias("bytes"), tx.percent(share).alias("share"), rounded(tx.logit(share), "odds", 9))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT id1, id2, round(jaro_winkler_similarity(a.nafn_norm, b.nafn_norm), 6) AS closeness FROM pr JOIN people a ON a.id = id1 JOIN people b ON b.id = id2")
