@@ -150,7 +150,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def _occurrences(width: int, segments: int):
-    """Runs with their segment, both cells in one number, the document, and place: first window << 16 | windows."""
+    """Runs with their segment, both cells in one number, the document, and place: first window << 32 | windows."""
 
     def scan(batches):
         for batch in batches:
@@ -162,7 +162,7 @@ def _occurrences(width: int, segments: int):
                 doc = np.searchsorted(w.first, at, "right") - 1
                 seg, cells = _address(anchor, segments)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in ((seg, pa.int64()), (cells[0] | cells[1] << 12, pa.int32()), (a[w.lo + doc], pa.int64()), (b[w.lo + doc], pa.int32()), ((at - w.first[doc]) << 16 | length, pa.int64()))],
+                    [pa.array(x, t) for x, t in ((seg, pa.int64()), (cells[0] | cells[1] << 12, pa.int32()), (a[w.lo + doc], pa.int64()), (b[w.lo + doc], pa.int32()), ((at - w.first[doc]) << 32 | length, pa.int64()))],
                     names=["segment", "cells", "a", "b", "place"],
                 )
 
@@ -181,7 +181,7 @@ def _windows(width: int):
                 for k in range(w.n_docs):
                     lo, hi = int(w.first[k]), int(w.first[k + 1])
                     own = flagged[w.lo + k].values.to_pylist()
-                    at = np.concatenate([np.arange(x >> 16, (x >> 16) + (x & 0xFFFF)) for x in own])
+                    at = np.concatenate([np.arange(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in own])
                     one = signed(mix(spans(h[lo:hi], at, at + width, 0xC2B2AE3D27D4EB4F)))
                     two = (mix(spans(h2[lo:hi], at, at + width, 0x165667B19E3779F9)) >> U(32)).astype(np.uint32).view(np.int32)
                     m = len(at)
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = stage(runs_.join(first, key), "marked")
     suspects = stage(base.join(marked, key).dropDuplicates(key), "suspects")
 
-    windows = stage(suspects.mapInArrow(_windows(width), "h1 long, h2 int, doc long, a long, b int, at int"), "windows")
+    windows = suspects.mapInArrow(_windows(width), "h1 long, h2 int, doc long, a long, b int, at int")
     shared = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2", "low")
     # Owners of repeated windows are written: the join then reads plain exchanges, and adaptive execution splits a hot window.
     shared = stage(shared, "shared")
