@@ -2,11 +2,17 @@
 
 A text is the sequence of its words, lower-cased, each closed by a space, then one end. The model
 predicts each byte of that stream from the last ORDER - 1 bytes: a restaurant for each context,
-whose parent is the restaurant of the context without its oldest byte; the root's base is uniform.
-Seating is kept as customers and tables per restaurant and dish. It starts from sequential seating and is
-sampled by Gibbs: a customer of each dish leaves (closing its table if it sat alone, whose probability is
-the ratio of generalised Stirling numbers) and sits down again at an occupied or a new table.
-Predictive probabilities are averaged over SAMPLES seatings.
+whose parent is the restaurant of the context without its oldest byte; the root's base is uniform. The discount
+of a length is estimated from its counts of counts; the strength is STRENGTH.
+
+Seating is kept as customers and tables per restaurant and dish, and sampled by Gibbs in blocks: all dishes
+of one length at once. Within a restaurant their numbers of tables are coupled only by the number of
+tables in all, and a Gamma variable drawn for it makes them independent; each is then drawn from its
+exact distribution (generalised Stirling numbers; beyond 64 customers its saddle-point form). So a step
+leaves the distribution of a restaurant's tables, given the probabilities of the length below, as it is,
+however many customers there are. Lengths follow in turn: tables become customers of the length below, and
+its predictive probabilities the base of the one above. Predictive probabilities are averaged
+over SAMPLES seatings.
 
 Size. Every byte n-gram of the training texts is seated, however rare and however large the corpus. The
 restaurants of the first HEAD lengths (contexts of up to HEAD - 1 bytes: at most 256**HEAD dishes) are
@@ -17,7 +23,9 @@ The last turn writes one table with the averaged log10 probability of each n-gra
 scored by joining it. Only n-grams with a share of at least 1 / KEPT of all positions (and words with 1 /
 KEPT_WORDS of all tokens) are broadcast, all others are joined; word counts for the baseline are exact.
 
-Null and empty texts are one end. Rows are scored one by one; equal ids may repeat.
+Defined cases: null and empty texts are one end; a null id is trained on or not as ``trained`` says, null is no;
+rows are scored one by one, equal ids may repeat; without training texts every byte has probability
+1 / 256; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,14 +38,13 @@ from pyspark.sql import functions as F
 from kindred.llm.text import U, Words, mix, runs, signed
 from kindred.plans.stage import release, staged
 
-ORDER = 6
+ORDER = 7
 HEAD = 3
 KEPT = 1 << 22
 BRANCH_ROWS = 1 << 19
 KEPT_WORDS = 1 << 20
 STRENGTH = 1.0
-DISCOUNT = (0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8)
-BURN_IN, SAMPLES, MOVES = 6, 3, 4
+BURN_IN, SAMPLES = 6, 3
 _EXACT = 64
 _SPACE, _END = 0x20, 0x0A
 
@@ -118,11 +125,12 @@ class Level:
     """All restaurants of one context length: dishes sorted by context and byte.
 
     The customers of a dish are the tables of its longer n-grams, or ``fixed`` where no level is above. The
-    lowest level here takes its base probabilities from ``outer``.
+    lowest level here takes its base probabilities from ``outer``. ``d`` is the discount; without one it is
+    estimated from how many dishes start with one and with two customers.
     """
 
-    def __init__(self, keys: np.ndarray, width: int, below: Level | None, fixed: np.ndarray | None = None):
-        self.keys, self.width, self.d, self.fixed = keys, width, DISCOUNT[width - 1], fixed
+    def __init__(self, keys: np.ndarray, width: int, below: Level | None, fixed: np.ndarray | None = None, d: float | None = None):
+        self.keys, self.width, self.d, self.fixed = keys, width, d, fixed
         self.contexts, self.ctx = np.unique(keys >> U(8), return_inverse=True)
         self.below, self.above, self.outer = below, None, np.full(len(keys), 1 / 256)
         self.t = np.ones(len(keys))
@@ -151,71 +159,96 @@ def _low(n: int) -> np.uint64:
     return U((1 << 8 * n) - 1)
 
 
-def _levels(keys: np.ndarray, counts: np.ndarray, lo: int, hi: int) -> list[Level]:
+def _levels(keys: np.ndarray, counts: np.ndarray, lo: int, hi: int, discounts: dict[int, float] | None = None) -> list[Level]:
     """Levels lo to hi of distinct n-grams of hi bytes with customers."""
     levels: list[Level] = []
     for n in range(lo, hi + 1):
         levels.append(Level(np.unique(keys & _low(n)), n, levels[-1] if levels else None))
     order = np.argsort(keys)
     levels[-1].fixed = counts[order]
+    for lv in levels:
+        lv.d = (discounts or {}).get(lv.width) or discount(*once_and_twice(lv))
     return levels
 
 
-def _log_stirling(d: float) -> np.ndarray:
-    """log of the generalised Stirling numbers S(c, t) with discount d for c, t <= _EXACT."""
-    s = np.full((_EXACT + 1, _EXACT + 1), -np.inf)
+def once_and_twice(level: Level) -> tuple[int, int]:
+    """How many dishes have one customer, and two, before any seating."""
+    c = level.customers()
+    return int((c == 1).sum()), int((c == 2).sum())
+
+
+def discount(once: int, twice: int) -> float:
+    """The usual estimate from counts of counts, kept inside (0, 1)."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+
+
+def log_stirling(d: float, most: int) -> np.ndarray:
+    """log of the generalised Stirling numbers S(c, t) with discount d for c, t <= most: seatings of c customers at t tables."""
+    s = np.full((most + 1, most + 1), -np.inf)
     s[0, 0] = 0.0
-    for c in range(1, _EXACT + 1):
+    for c in range(1, most + 1):
         with np.errstate(divide="ignore"):
-            stay = s[c - 1, 1:] + np.log(np.maximum(c - 1 - d * np.arange(1, _EXACT + 1), 0))
+            stay = s[c - 1, 1:] + np.log(np.maximum(c - 1 - d * np.arange(1, most + 1), 0))
         s[c, 1:] = np.logaddexp(s[c - 1, :-1], stay)
     return s
 
 
-def _seat(level: Level, rng: np.random.Generator) -> None:
-    """Sequential seating of every dish's customers: one by one at first, then in doubling groups."""
-    a = (STRENGTH + level.d * level.tables[level.ctx]) * level.base
-    t = np.ones(len(level.c))
-    j = 1
-    while (some := np.flatnonzero(level.c > j)).size:
-        if j < 16:
-            new = rng.random(len(some)) < a[some] / (a[some] + j - level.d * np.minimum(t[some], j))
-            t[some] += new
-            j += 1
-        else:
-            end = np.minimum(level.c[some], 2 * j)
-            rate = a[some] * np.log((a[some] + end) / (a[some] + j))
-            t[some] += np.minimum(rng.poisson(rate), end - j)
-            j *= 2
-    level.t = np.minimum(t, level.c)
-
-
-def _move(level: Level, stirling: np.ndarray, rng: np.random.Generator) -> None:
-    """One customer of each dish leaves and sits down again."""
-    c, t, d = level.c, level.t, level.d
-    few = c <= _EXACT
-    alone = np.where(t > 1, np.minimum(1.0, d * t / c), (c <= 1).astype(float))
-    ci, ti = c[few].astype(int), t[few].astype(int)
-    with np.errstate(invalid="ignore"):
-        alone[few] = np.nan_to_num(np.exp(stirling[ci - 1, ti - 1] - stirling[ci, ti]))
-    gone = rng.random(len(c)) < alone
-    t1, c1 = t - gone, c - 1
-    a = (STRENGTH + d * np.maximum(level.tables[level.ctx] - gone, 0)) * level.base
-    new = (c1 <= 0) | (t1 <= 0) | (rng.random(len(c)) < a / np.maximum(a + c1 - d * t1, 1e-300))
-    level.t = np.clip(t1 + new, 1, c)
+def draw_tables(c: np.ndarray, rate: np.ndarray, d: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with c customers, drawn with weights S(c, t) (d rate)**t.
+
+    Up to _EXACT customers by the table of those numbers. Beyond, the weights are those of c customers split over a
+    Poisson number of tables with sizes of generating function 1 - (1 - z)**d: where ``rate`` is small, t - 1
+    is Poisson in the limit of many customers, else t is normal around the saddle point.
+    """
+    t = np.ones(len(c))
+    some = np.flatnonzero((c > 1) & (c <= _EXACT))
+    order = some[np.argsort(c[some], kind="stable")]
+    cut = np.searchsorted(c[order], np.arange(2, _EXACT + 2))
+    for k in range(2, _EXACT + 1):
+        at = order[cut[k - 2] : cut[k - 1]]
+        if len(at):
+            with np.errstate(divide="ignore"):
+                w = stirling[k, 1 : k + 1][None, :] + np.log(d * rate[at])[:, None] * np.arange(1, k + 1)[None, :]
+            w = np.exp(w - w.max(axis=1, keepdims=True))
+            total = np.cumsum(w, axis=1)
+            t[at] = 1 + (total < rng.random(len(at))[:, None] * total[:, -1:]).sum(axis=1)
+    many = np.flatnonzero(c > _EXACT)
+    if len(many):
+        n, r = c[many], rate[many]
+        low, high = np.full(len(n), -700.0), np.zeros(len(n))  # log of 1 - z at the saddle point
+        for _ in range(60):
+            mid = (low + high) / 2
+            up = np.log(d * r) + np.log(-np.expm1(mid)) + (d - 1) * mid > np.log(n)
+            low, high = np.where(up, mid, low), np.where(up, high, mid)
+        y = np.exp((low + high) / 2)
+        part = -np.expm1(d * np.log(y))
+        mean = r * part
+        size = n / mean
+        second = (1 - y) ** 2 * d * (1 - d) * y ** (d - 2) / part + size
+        spread = np.sqrt(np.maximum(mean * (1 - size * size / second), 0))
+        few = 1 + rng.poisson(np.minimum(r, 50) * (1 - n**-d))
+        t[many] = np.where(r < 8, few, np.rint(mean + spread * rng.standard_normal(len(n))))
+    return np.clip(t, 1, c)
+
+
+def reseat(level: Level, stirling: np.ndarray, rng: np.random.Generator) -> None:
+    """One Gibbs step of all dishes of a level, given the probabilities of the level below.
+
+    The tables of a restaurant are coupled by Gamma(T + strength / d) alone. Given a draw x of that Gamma
+    distribution they are independent, and each dish's number has weights S(c, t) (d x base)**t.
+    """
+    x = rng.standard_gamma(level.tables + STRENGTH / level.d)
+    level.t = draw_tables(level.c, np.maximum(x[level.ctx] * level.base, 1e-300), level.d, stirling, rng)
     level.tables = np.bincount(level.ctx, weights=level.t, minlength=len(level.contexts))
 
 
 def _sweeps(levels: list[Level], outer: list[np.ndarray] | None, n_sweeps: int, rng: np.random.Generator):
-    """Gibbs sampling: yields the number of each sweep after it; ``outer`` are the base's samples."""
+    """Gibbs sampling, longest contexts first: yields the number of each sweep after it; ``outer`` are the base's samples."""
     if outer is not None:
         levels[0].outer = outer[0]
     for lv in levels:
         lv.refresh()
-    for lv in reversed(levels):
-        lv.refresh()
-        _seat(lv, rng)
-    stirling = [_log_stirling(lv.d) for lv in levels]
+    stirling = [log_stirling(lv.d, _EXACT) for lv in levels]
     for sweep in range(n_sweeps):
         if outer is not None:
             levels[0].outer = outer[max(0, sweep - BURN_IN)]
@@ -224,8 +257,7 @@ def _sweeps(levels: list[Level], outer: list[np.ndarray] | None, n_sweeps: int,
         for lv, s in zip(reversed(levels), reversed(stirling), strict=True):
             lv.c = np.maximum(lv.customers(), 1)
             lv.t = np.minimum(lv.t, lv.c)
-            for _ in range(MOVES):
-                _move(lv, s, rng)
+            reseat(lv, s, rng)
         for lv in levels:
             lv.refresh()
         yield sweep
@@ -284,7 +316,7 @@ def probabilities(model: list[dict], keys: np.ndarray, p: list[np.ndarray] | Non
     return p
 
 
-def _branch(batches):
+def _branch(batches, discounts: dict[int, float] | None = None):
     """The n-grams of a partition in order, and its levels above the head (none without training texts)."""
     held = [(b.column("key").to_numpy().astype(U), b.column("n").to_numpy(), b.column("k").to_numpy()) for b in batches]
     if not held:
@@ -293,7 +325,7 @@ def _branch(batches):
     order = np.argsort(keys)  # the same rows give the same seating, in whatever order they come
     keys, n, k = keys[order], n[order], k[order]
     own = k > 0
-    levels = _levels(keys[own], k[own], HEAD + 1, ORDER) if own.any() else []
+    levels = _levels(keys[own], k[own], HEAD + 1, ORDER, discounts) if own.any() else []
     return keys, n, levels, np.random.default_rng(int(keys[0]))
 
 
@@ -301,12 +333,17 @@ def _base(head: list[dict], levels: list[Level]) -> list[np.ndarray]:
     return probabilities(head, (levels[0].keys & _low(HEAD)).byteswap())
 
 
-def _head(dishes: DataFrame, seed: int) -> list[dict]:
-    """The sampled head from (key, n): its longest dishes and their customers, at most 256**HEAD rows."""
+def _head(dishes: DataFrame, seed: int, discounts: dict[int, float]) -> list[dict]:
+    """The sampled head from (key, n): its longest dishes and their customers, at most 256**HEAD rows.
+
+    ``discounts`` gets those of the head's lengths at the first call.
+    """
     got = dishes.toPandas()
     if not len(got):
         return []
-    return sample_model(_levels(got["key"].to_numpy().astype(U), got["n"].to_numpy(), 1, HEAD), np.random.default_rng(seed))
+    levels = _levels(got["key"].to_numpy().astype(U), got["n"].to_numpy(), 1, HEAD, discounts)
+    discounts.update({lv.width: lv.d for lv in levels})
+    return sample_model(levels, np.random.default_rng(seed))
 
 
 def log_probabilities(docs: DataFrame) -> DataFrame:
@@ -319,11 +356,20 @@ def log_probabilities(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // BRANCH_ROWS))
     branches = grams.repartition(parts, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * HEAD) - 1)))
 
+    def counts_of_counts(batches):
+        found = _branch(batches)
+        for lv in found[2] if found else []:
+            once, twice = once_and_twice(lv)
+            yield pa.RecordBatch.from_arrays([pa.array([lv.width]), pa.array([once]), pa.array([twice])], names=["width", "once", "twice"])
+
+    seen = branches.mapInArrow(counts_of_counts, "width long, once long, twice long").groupBy("width").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"))
+    discounts = {r["width"]: discount(r["once"], r["twice"]) for r in seen.collect()}  # a row a length
+
     first = grams.where("k > 0").select(low(HEAD + 1)).distinct()  # one table for each dish above the head
-    shared = spark.sparkContext.broadcast(_head(first.select(low(HEAD)).groupBy("key").agg(F.count("*").alias("n")), 42))
+    shared = spark.sparkContext.broadcast(_head(first.select(low(HEAD)).groupBy("key").agg(F.count("*").alias("n")), 42, discounts))
 
     def tables(batches):
-        found = _branch(batches)
+        found = _branch(batches, discounts)
         if found and found[2]:
             levels, rng = found[2:]
             for _ in _sweeps(levels, _base(shared.value, levels), BURN_IN, rng):
@@ -332,10 +378,10 @@ def log_probabilities(docs: DataFrame) -> DataFrame:
             yield _key_counts(u, np.bincount(code, weights=levels[0].t).astype(np.int64))
 
     sent = branches.mapInArrow(tables, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    final = spark.sparkContext.broadcast(_head(sent, 43))
+    final = spark.sparkContext.broadcast(_head(sent, 43, discounts))
 
     def write(batches):
-        found = _branch(batches)
+        found = _branch(batches, discounts)
         if found:
             keys, n, levels, rng = found
             head, swapped = final.value, keys.byteswap()
