@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import text as tx
 from kindred.operators import evaluation, judgments, linkage, models, pairs, scoring, truth
 from kindred.plans.linkage_catalogue import _FS, _RULED, _fields, _pairs, _ruled
-from kindred.plans.shared import PAIRS_SQL, both_sql, people, people_pairs, query, rounded, table
+from kindred.plans.shared import both_sql, people, people_pairs, query, rounded, table
 from kindred.plans.stage import staged
 
 _CENSUS = ["heimild", *judgments.NAMES, "birthyear", "sex", *judgments.PLACES]

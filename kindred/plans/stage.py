@@ -2,7 +2,7 @@
 
 The folder is the one that ``spark.checkpoint.dir`` names. Only where the session names none (local
 tests) a folder of this process is used. A written table survives lost executors and, unlike an RDD
-checkpoint, keeps column pruning for its readers.
+checkpoint, keeps column pruning for its readers. A session on a cluster that names no folder is refused.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def stage_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="kindred-stage-")
     return _own["dir"]
