@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.text import U, Words, mix, runs, signed
+from kindred.llm.text import U, Words, runs, signed
 from kindred.plans.stage import release, staged
 
 ORDER = 7

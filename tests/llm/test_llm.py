@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kindred.llm import flac
 from kindred.llm.byte_bpe import Transducer, Utf8, compile_merges, encode_decode, read_ranks
 from kindred.llm.embedding_join import embedding_links
-from kindred.llm.mixing import mix_sources, one_period, shares
+from kindred.llm.mixing import mix_sources, one_period, whole_weights
 from kindred.llm.ngram_jaccard import near_duplicates
 from kindred.llm.pitman_yor import perplexity_scores
 from kindred.llm.sharding import assign_shards
@@ -159,7 +159,7 @@ def test_shards_are_even_and_gapless(spark):
 
 
 def test_pfair(spark):
-    share = shares({"a": 5, "b": 3, "c": 1, "d": 1})
+    share = whole_weights({"a": 5, "b": 3, "c": 1, "d": 1})
     seen = dict.fromkeys(share, 0)
     table = one_period(share) * 3
     for t, s in enumerate(table, 1):
@@ -217,7 +217,7 @@ def test_pitman_yor_distribution():
     from kindred.llm import pitman_yor as py
 
     rng = np.random.default_rng(2)
-    keys = np.unique(rng.integers(0, 1 << 48, 40, dtype=np.uint64) | np.uint64(0))
+    keys = np.unique(rng.integers(0, 1 << 48, 40, dtype=np.uint64))
     counts = rng.integers(1, 9, len(keys))
     low3, n3 = np.unique(np.unique(keys & py._low(4)) & py._low(3), return_counts=True)
     head = py.sample_model(py._levels(low3, n3, 1, 3), rng)
