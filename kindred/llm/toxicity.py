@@ -1,13 +1,12 @@
 """Toxicity by weak supervision.
 
 Voters are the words of a list of insults, patterns (an insult near a word of address, several insults,
-a threat to the reader), stems induced from one half of the labelled rows, and one voter for clean: that
-none of the others fires. A voter that doesn't fire abstains. A generative label model with one firing rate
-per class and voter and one covariance shared by the classes is fitted by expectation maximisation on
-the votes alone: the rates are the voters' accuracies, the covariance their correlations, so voters that
-repeat each other don't count twice. Given labels enter it only as an anchor: ANCHOR in log odds for rows
-that have one. A logistic regression is then trained on the posterior labels over word and stem
-features and scores every whole text.
+a threat to the reader) and stems induced from one half of the labelled rows. What doesn't fire abstains, and
+speaks for clean only by how often it would have fired. A generative label model with one firing rate per
+class and voter and the correlations of voters within a class is fitted by expectation maximisation on the
+votes alone: the rates are the voters' accuracies, and voters that repeat each other share one vote. Given
+labels enter it only as an anchor: ANCHOR in log odds for rows that have one. A logistic regression is then
+trained on the posterior labels over word and stem features and scores every whole text.
 
 Labels are read only in learning, from at most ``fit_rows`` labelled rows outside the held-out fold
 (taken in the order of a hash of the id); so VOTERS and MOST_FEATURES bound tables of that sample, not
@@ -34,7 +33,7 @@ STEMS = (4, 5, 6)
 LEAST_ROWS, LEAST_Z, MOST_FEATURES = 4, 4.5, 8192
 #: Induced stems that vote, at most.
 VOTERS = 192
-ANCHOR = 4.0
+ANCHOR = 2.0
 FOLDS = 5
 INSULTS = (
     "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "ugly", "imbecile", "filthy", "crap", "jerk", "bastard",
@@ -150,23 +149,28 @@ def label_model(votes: np.ndarray, sign: np.ndarray, anchor: np.ndarray | None =
     """Posterior of class 1 for each row of ``votes`` (rows x voters, true where a voter fires), and the model.
 
     ``sign``: 1 for voters that speak for class 1, -1 for those against it. The model holds the prior, each
-    voter's firing rate in either class, and the correlations of voters within a class. It starts from the
-    balance of the votes; ``anchor`` (labels, NaN where none) adds ANCHOR log odds in each E-step.
+    voter's firing rate in either class, the correlations of voters within a class, and the weights that follow:
+    a voter's log odds count by one over the sum of its squared correlations (less what chance gives), so
+    copies share one vote. It starts from the balance of the votes; ``anchor`` (labels, NaN where none)
+    adds ANCHOR log odds in each E-step.
     """
     x = votes.astype(float)
     lean = np.zeros(len(x)) if anchor is None else ANCHOR * np.nan_to_num(2 * anchor - 1)
-    balance = x @ sign
-    q = 1 / (1 + np.exp(-np.clip(2.0 * np.minimum(balance, 2) - 1 + lean, -30, 30)))
+    squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    q = squash(2.0 * np.clip(x @ sign, 0, 3) - 3 + lean)
+    rate = x.mean(0)
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
-        m1, m0 = (q @ x + 0.5 * x.mean(0)) / (q.sum() + 0.5), ((1 - q) @ x + 0.5 * x.mean(0)) / ((1 - q).sum() + 0.5)
-        d1, d0 = x - m1, x - m0
+        hit, false = (np.clip((w @ x + 0.5 * rate) / (w.sum() + 0.5), 1e-4, 1 - 1e-4) for w in (q, 1 - q))
+        d1, d0 = x - hit, x - false
         cov = ((d1 * q[:, None]).T @ d1 + (d0 * (1 - q)[:, None]).T @ d0) / len(q)
-        spread = np.sqrt(np.diag(cov) + 1e-12)
-        a = np.linalg.solve(cov + np.diag(0.05 * np.diag(cov) + 1e-3), m1 - m0)
-        z = (x - (m1 + m0) / 2) @ a + np.log(prior / (1 - prior))
-        q = 1 / (1 + np.exp(-np.clip(z + lean, -30, 30)))
-    return q, {"prior": float(q.mean()), "hit": m1, "false": m0, "correlation": cov / np.outer(spread, spread)}
+        spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        alike = cov / np.outer(spread, spread)
+        weight = 1 / np.maximum(1.0, np.maximum(alike**2 - 1 / len(x), 0).sum(axis=1))
+        fires, silent = np.log(hit / false), np.log((1 - hit) / (1 - false))
+        z = x @ (weight * (fires - silent)) + (weight * silent).sum() + np.log(prior / (1 - prior))
+        q = squash(z + lean)
+    return q, {"prior": float(q.mean()), "hit": hit, "false": false, "correlation": alike, "weight": weight}
 
 
 def train_linear(rows: list[np.ndarray], size: int, q: np.ndarray, ridge: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -228,9 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[n
     pattern = np.array([[r["patterns"] >> k & 1 for k in range(_PATTERNS)] for r in got], bool).reshape(len(got), _PATTERNS)
     votes = np.concatenate([said, pattern, stems], axis=1)
     votes = votes[:, votes.any(axis=0)]
-    votes = np.concatenate([votes, ~votes.any(axis=1)[:, None]], axis=1)
-    sign = np.append(np.ones(votes.shape[1] - 1), -1.0)
-    q, _ = label_model(votes, sign, np.array([r["toxic"] for r in got]))
+    q, _ = label_model(votes, np.ones(votes.shape[1]), np.array([r["toxic"] for r in got]))
     w, b = train_linear(rows, len(table), q)
     return table, w, b
 

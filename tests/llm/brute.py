@@ -22,7 +22,8 @@ def edf_order(rows, weights, block, default=1):
         while True:
             free = [s for s in left if taken[s] * whole // share[s] <= t - start]
             s = min(free, key=lambda s: (-(-(taken[s] + 1) * whole // share[s]), name(s)))
-            out += [(i, s, t, total[s] - len(left[s])) for i in left[s].pop(0)]
+            rows_of = left[s].pop(0)
+            out += [(i, s, t, total[s] - len(left[s]) - 1) for i in rows_of]
             taken[s] += 1
             t += 1
             if not left[s]:

@@ -345,11 +345,11 @@ def test_label_model_without_labels():
     votes = np.where(y[:, None], rng.random((6000, 6)) < hit, rng.random((6000, 6)) < false)
     copy = votes[:, 1] ^ (rng.random(6000) < 0.03)  # follows the second voter
     votes = np.concatenate([votes, copy[:, None]], axis=1)
-    votes = np.concatenate([votes, ~votes.any(axis=1)[:, None]], axis=1)
-    q, model = label_model(votes, np.append(np.ones(7), -1.0))
+    q, model = label_model(votes, np.ones(7))
     assert ((q > 0.5) == y).mean() > 0.95
     assert model["hit"][:6] == pytest.approx(hit, abs=0.08) and model["false"][:6] == pytest.approx(false, abs=0.05)
     assert model["correlation"][1, 6] > 0.6 and abs(model["correlation"][0, 2]) < 0.3
+    assert model["weight"][[1, 6]].max() < 0.8 < model["weight"][[0, 2, 3, 4, 5]].min()
 
 
 def test_toxicity_cases(spark, docs):
