@@ -68,7 +68,7 @@ def ngrams(stream: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
     key = stream.astype(U)
     for back in range(1, ORDER):
         prior = np.full(len(stream), _END, U)
-        prior[back:] = stream[: len(stream) - back]
+        prior[back:] = stream[: max(0, len(stream) - back)]
         prior[place < back] = _END
         key |= prior << U(8 * back)
     return key
