@@ -39,6 +39,8 @@ BLOCKS = 8
 TILE = 4096
 #: Rows of a tile compared at once, and the share of vectors expected in the fullest cell of a coordinate.
 STRIP, FULLEST = 512, 0.65
+#: Pairs verified at once.
+PAIRS = 1 << 16
 _SLACK = 1e-9
 
 
@@ -125,19 +127,24 @@ def _tile(threshold: float, blocks: int):
             near &= (shift[strip][:, None] & shift[right][None, :]) == 0
             if p == q:
                 near &= np.arange(start, start + len(strip))[:, None] < np.arange(len(right))[None, :]
-            i, j = np.nonzero(near)
-            i, j = strip[i], right[j]
-            for k in range(b + 1):
-                x, y = cuts[k]
-                gap = r[i, x:y] - r[j, x:y]
-                within = np.einsum("ij,ij->i", gap, gap) <= budget[k]
-                keep = within if k == b else ~within
-                i, j = i[keep], j[keep]
-            ok = np.einsum("ij,ij->i", u[i], u[j]) >= threshold
-            i, j = i[ok], j[ok]
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            forest += _forest(root, i, j)
+            rows, cols = np.nonzero(near)
+            for at in range(0, len(rows), PAIRS):
+                i, j = strip[rows[at : at + PAIRS]], right[cols[at : at + PAIRS]]
+                for k in range(b + 1):
+                    x, y = cuts[k]
+                    gap = r[i, x:y] - r[j, x:y]
+                    within = np.einsum("ij,ij->i", gap, gap) <= budget[k]
+                    keep = within if k == b else ~within
+                    i, j = i[keep], j[keep]
+                ok = np.einsum("ij,ij->i", u[i], u[j]) >= threshold
+                i, j = i[ok], j[ok]
+                links += np.bincount(i, weights=weight[j], minlength=n).astype(np.int64)
+                links += np.bincount(j, weights=weight[i], minlength=n).astype(np.int64)
+                tree = np.array(root)
+                while (up := tree[tree]).tolist() != tree.tolist():
+                    tree = up
+                apart = tree[i] != tree[j]  # the others are joined already
+                forest += _forest(root, i[apart], j[apart])
         some = np.flatnonzero(links)
         return pa.table(
             {
