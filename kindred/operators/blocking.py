@@ -95,12 +95,26 @@ def kept_blocks(keys: DataFrame, most: int | None = None, most_pairs: int | None
     return keys.join(sizes, "key")
 
 
+def met_in_blocks(kept: DataFrame) -> DataFrame:
+    """(id1, id2, n) for each two members of a block of (key, id, n), once a block.
+
+    Blocks are within a limit on their size, so one is a bounded array; a member meets those behind it.
+    """
+    blocks = kept.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("n").alias("n"))
+    members = blocks.select("ids", "n", F.posexplode("ids").alias("i", "id1"))
+    ahead = F.expr("slice(ids, i + 2, size(ids))")
+    return members.where("i + 1 < size(ids)").select("n", "id1", F.explode(ahead).alias("id2")).where("id1 < id2")
+
+
 def pairs_in_blocks(keys: DataFrame, most: int | None = None, fewest: int = 2, most_pairs: int | None = None, counted: bool = False) -> DataFrame:
     """Distinct pairs of records that share a block within the limits; ``counted``: with the number of
-    blocks shared and the size of the smallest."""
+    blocks shared and the size of the smallest. Without a limit, blocks meet in a self-join."""
     kept = kept_blocks(keys, most, most_pairs, fewest)
-    left, right = kept.select("key", "n", F.col("id").alias("id1")), kept.select("key", F.col("id").alias("id2"))
-    met = left.join(right, "key").where("id1 < id2")
+    if most is None and most_pairs is None:
+        left, right = kept.select("key", "n", F.col("id").alias("id1")), kept.select("key", F.col("id").alias("id2"))
+        met = left.join(right, "key").where("id1 < id2")
+    else:
+        met = met_in_blocks(kept)
     if counted:
         return met.groupBy("id1", "id2").agg(F.count("*").alias("shared"), F.min("n").alias("smallest"))
     return met.select("id1", "id2").distinct()

@@ -47,8 +47,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     sized = staged(docs.select("doc_id", words.alias("ts"), "lang", "source", F.substring("text", 1, 24).alias("p"), "n_chars"), "sized")
     keys = staged(blocking.kept_blocks(sized.select(F.col("doc_id").alias("id"), F.explode("ts").alias("key")), 20), "blocks")
     rare = keys.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("rare"))
-    left, right = keys.select("key", F.col("id").alias("id1")), keys.select("key", F.col("id").alias("id2"))
-    met = left.join(right, "key").where("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("shared"))
+    met = blocking.met_in_blocks(keys).groupBy("id1", "id2").agg(F.count("*").alias("shared"))
     side = sized.join(rare, "doc_id").select("doc_id", F.size("ts").alias("size"), "rare", "lang", "source", "p", "n_chars")
     a, b = (side.select(*(F.col(c).alias("id" + k if c == "doc_id" else c + k) for c in side.columns)) for k in "12")
     gap, most = F.abs(F.col("n_chars1") - F.col("n_chars2")), F.greatest("n_chars1", "n_chars2")
