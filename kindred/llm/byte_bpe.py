@@ -286,10 +286,15 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     """Encode every text and decode the ids: the ``keep`` columns, then n_tokens, ids_sha256,
     decoded_sha256, and the ids themselves if asked for.
 
-    Null and empty texts have no ids. The vocabulary is one file of fixed size, read by the driver
-    and broadcast with its merge tables (a few MB).
+    The vocabulary is one file of fixed size, read by the driver and broadcast with its merge tables (a few MB).
+
+    Defined cases: null and empty texts have no ids; texts and pieces may be of any length; repeated rows are
+    encoded alike; columns that aren't kept are ignored, and a kept one may not have a result's name; an
+    empty table gives an empty one.
     """
     spark = docs.sparkSession
+    if taken := {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "__text"} & set(keep):
+        raise ValueError(f"names of results: {', '.join(sorted(taken))}")
     shared = spark.sparkContext.broadcast(compile_merges(read_ranks(spark, vocabulary)))
     keep = (id_col, *keep)
 

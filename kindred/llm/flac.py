@@ -5,7 +5,8 @@ samples, a SEEKTABLE with a point for every frame, and frames of BLOCK samples c
 verbatim, fixed or linear prediction with Rice residuals. Many frames are coded and decoded in step,
 one numpy operation for the same sample of all of them; ``decode_frame`` is the plain decoder of
 any mono frame and takes the forms that the fast path leaves out (partitions, escapes, wasted bits).
-Header CRC-8, frame CRC-16 and MD5 are verified; a mismatch raises ValueError.
+Header CRC-8, frame CRC-16 and MD5 are verified; a mismatch raises ValueError, as do streams that are not mono
+with 8 bits, which this module doesn't read.
 """
 
 from __future__ import annotations
@@ -460,7 +461,10 @@ def flac_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Store every text as a FLAC stream, read it back and compute features.
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[,
-    media]). Null and empty texts are 64 zero samples.
+    media]).
+
+    Defined cases: null and empty texts are 64 zero samples; texts may be of any length; repeated rows and
+    equal texts have equal results; other columns are ignored; an empty table gives an empty one.
     """
 
     def scan(batches):
