@@ -333,15 +333,26 @@ def _base(head: list[dict], levels: list[Level]) -> list[np.ndarray]:
     return probabilities(head, (levels[0].keys & _low(HEAD)).byteswap())
 
 
+def _sorted_columns(table: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded table in the order of the first, by Arrow: the driver makes no object for a row."""
+    got = table.toArrow()
+    columns = [c.to_numpy() for c in got.columns]
+    del got
+    order = np.argsort(columns[0])
+    for k, c in enumerate(columns):
+        columns[k] = c[order]
+    return columns
+
+
 def _head(dishes: DataFrame, seed: int, discounts: dict[int, float]) -> list[dict]:
     """The sampled head from (key, n): its longest dishes and their customers, at most 256**HEAD rows.
 
     ``discounts`` gets those of the head's lengths at the first call.
     """
-    got = dishes.toPandas()
-    if not len(got):
+    key, n = _sorted_columns(dishes)
+    if not len(key):
         return []
-    levels = _levels(got["key"].to_numpy().astype(U), got["n"].to_numpy(), 1, HEAD, discounts)
+    levels = _levels(key.astype(U), n, 1, HEAD, discounts)
     discounts.update({lv.width: lv.d for lv in levels})
     return sample_model(levels, np.random.default_rng(seed))
 
@@ -415,11 +426,12 @@ def perplexity_scores(docs: DataFrame, trained: Column, id_col: str = "doc_id",
     stats = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     n_all, v_all = (stats["n"] or 0) + ends, stats["v"] + (ends > 0)
     least = max(1, -(-n_all // KEPT_WORDS))
-    often = words.where(F.col("n") >= least).toPandas().sort_values("key")  # at most KEPT_WORDS rows
+    often = _sorted_columns(words.where(F.col("n") >= least).select("key", "n"))  # at most KEPT_WORDS rows
     grams = log_probabilities(base)
     least_grams = max(1, -(-(grams.agg(F.sum("n")).first()[0] or 0) // KEPT))
-    head = grams.where(F.col("n") >= least_grams).select("key", "lp").toPandas().sort_values("key")  # at most KEPT rows
-    shared = spark.sparkContext.broadcast({"grams": (head["key"].to_numpy(), head["lp"].to_numpy()), "words": (often["key"].to_numpy(), often["n"].to_numpy())})
+    head = _sorted_columns(grams.where(F.col("n") >= least_grams).select("key", "lp"))  # at most KEPT rows
+    shared = spark.sparkContext.broadcast({"grams": tuple(head), "words": tuple(often)})
+    del head, often
     norm = float(np.log10(n_all + v_all + 1.0))
 
     def find(known, keys):

@@ -212,6 +212,24 @@ def test_pitman_yor_keeps_rare_ngrams(spark, monkeypatch):
     assert [r[3] for r in got[0]] == pytest.approx([r[3] for r in got[1]], abs=1e-6)
 
 
+def test_pitman_yor_driver_holds_arrays(spark):
+    """Collected n-grams and words take a few numbers each on the driver, no object for a row."""
+    import tracemalloc
+
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnop", k=500))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = len({t[k : k + 7] for _, t in rows for k in range(len(t) - 6)})
+    tracemalloc.start()
+    try:
+        found = perplexity_scores(docs, F.lit(True))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100 * grams
+    assert found.count() == 200
+
+
 def test_pitman_yor_distribution():
     """The probabilities of all bytes after a context add up to one, seen or not, in head and branches."""
     from kindred.llm import pitman_yor as py
