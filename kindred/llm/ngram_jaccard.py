@@ -259,9 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = base.where(F.col("doc_id").isNotNull())
     sigs = stage(known.mapInArrow(_documents, "doc_id long, k1 long, k2 long, n_shingles int, sig binary"), "sigs")
+    rows = sigs.count()
     weights = sigs.select("k1", "k2", "doc_id").distinct().groupBy("k1", "k2").agg(F.count("*").alias("weight"))
     classes = sigs.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")).join(weights, ["k1", "k2"])
-    classes = stage(classes, "classes")
+    classes = stage(classes, "classes", rows)
 
     bands = classes.select("rep", "sig").mapInArrow(_bands, "band long, rep long")
     shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), F.max("rep").alias("top")).where("n > 1")
@@ -276,7 +277,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     tied = members.where(F.col("n") > SMALL).select(F.col("hub").alias("id1"), F.col("rep").alias("id2")).where("id1 < id2").distinct()
     comps = connected_components(pairs.union(tied), stages=stage).select(F.col("id").alias("rep"), F.col("component_id").alias("comp"))
-    comps = stage(comps, "comps")
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size"))
     total = comps.count()
     packs = max(1, total // TILE)
@@ -301,4 +301,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     zero = F.lit(0).cast("long")
     alone = alone.select("doc_id", zero.alias("n_links"), zero.alias("n_linked_texts"), zero.alias("n_copies"), F.col("doc_id").alias("class_id"))
     result = with_class.unionByName(alone).select("doc_id", "class_id", "n_links", "n_linked_texts", "n_copies", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
-    return stage.finish(result, "near")
+    return stage.finish(result, "near", rows)

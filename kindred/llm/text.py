@@ -46,7 +46,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _tables.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE + (SLICE >> 2))
+        size = max(n, min(SLICE + (SLICE >> 2), 1 << (n - 1).bit_length()))
         inverse = pow(base, -1, 1 << 64)
         up, down = np.full(size, U(base)), np.full(size, U(inverse))
         up[0] = down[0] = 1

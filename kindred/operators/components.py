@@ -43,7 +43,7 @@ def star_forest(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        before_round, e = e, staged(small, "edges")
+        before_round, e = e, staged(small, "edges", 2 * before[0])
         release(before_round)
         now = _mark(e)
         if now == before:

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from kindred.functions import text as tx
@@ -50,6 +51,45 @@ def test_components(spark):
     assert connected_components(edges.where("false")).count() == 0
 
 
+def test_components_write_few_files(spark, monkeypatch):
+    """The edges of a small graph don't take a file for each shuffle partition, round by round."""
+    from pathlib import Path
+
+    from kindred.operators import components
+
+    files, write = [], components.staged
+
+    def counted(*args):
+        out = write(*args)
+        files.append(len(list(Path(out.staged_path.removeprefix("file://")).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(components, "staged", counted)
+    given = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        chain = spark.range(600).selectExpr("id as id1", "id + 1 as id2").where("id1 % 301 != 300")
+        assert sorted(r["count"] for r in connected_components(chain).groupBy("component_id").count().collect()) == [300, 301]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 3 and max(files[1:]) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_power_tables_fit_their_texts():
+    """A short batch makes short tables, a long one those that it needs; both give one hash."""
+    from kindred.llm import text
+
+    values = np.arange(1, 3000)
+    text._tables.clear()
+    short = text.spans(values[:500], np.array([3]), np.array([400]), 12345)
+    assert len(text._tables[12345][0]) <= 1024
+    assert text.spans(values, np.array([3]), np.array([400]), 12345) == short
+    assert len(text._tables[12345][0]) <= 4096
+
+
 def test_entry_imports():
     import __spark_entry__
 
