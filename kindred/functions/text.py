@@ -151,12 +151,14 @@ def log_values(line: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
 
-def human_bytes(n: Column) -> Column:
-    """A number of bytes with one decimal, in steps of 1024 up to PB."""
-    units = ["B", "KB", "MB", "GB", "TB"]
-    out = F.lit(None).cast("string")
-    for k, unit in reversed(list(enumerate(units))):
-        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", (n / 1024.0**k).cast("double"))).otherwise(out if k < 4 else F.format_string("%.1f PB", (n / 1024.0**5).cast("double")))
+def human_bytes(n: Column, largest: str = "PB") -> Column:
+    """A number of bytes with one decimal, in steps of 1024 up to ``largest``."""
+    units = ["B", "KB", "MB", "GB", "TB", "PB"]
+    units = units[: units.index(largest) + 1]
+    of = lambda k: F.format_string(f"%.1f {units[k]}", (n / 1024.0**k).cast("double"))
+    out = of(len(units) - 1)
+    for k in reversed(range(len(units) - 1)):
+        out = F.when(n < 1024.0 ** (k + 1), of(k)).otherwise(out)
     return out
 
 
