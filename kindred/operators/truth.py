@@ -62,15 +62,16 @@ def comparison(a: Column, b: Column, cap: float | None = CAP) -> Column:
     return truth(F.coalesce(F.try_divide(low, high), F.lit(0.0)), _capped(a["c"] * b["c"] * (a["f"] + b["f"]), cap))
 
 
-def pattern_pool(judged: DataFrame, most: int | None = None, by_distance: bool = True, k: float = 1.0, cap: float | None = CAP) -> DataFrame:
+def pattern_pool(judged: DataFrame, most: int | None = None, by_distance: bool = True, k: float = 1.0, cap: float | None = CAP, weight: str | None = None) -> DataFrame:
     """(pattern, n_match, n_non, f, c, expectation) from (label, judgments).
 
     A pattern is the sorted judgment set; each observation is evidence for or against it, and evidence
     adds up, so one map-side combined aggregation replaces revising pair by pair (equal below the cap). ``most``:
-    keep those whose expectation is farthest from 0.5, or highest.
+    keep those whose expectation is farthest from 0.5, or highest. ``weight``: a column that says how many pairs a row stands for.
     """
     unit = OBSERVED / (1 - OBSERVED) * (1.0 if cap is not None else k)
-    n = judged.groupBy(F.sort_array("judgments").alias("pattern")).agg(F.sum("label").alias("n_match"), F.sum(1 - F.col("label")).alias("n_non"))
+    each = F.lit(1) if weight is None else F.col(weight)
+    n = judged.groupBy(F.sort_array("judgments").alias("pattern")).agg(F.sum(F.col("label") * each).alias("n_match"), F.sum((1 - F.col("label")) * each).alias("n_non"))
     t = from_evidence(F.col("n_match") * unit, F.col("n_non") * unit, k, cap)
     pool = n.withColumn("t", t).select("pattern", "n_match", "n_non", "t.f", "t.c", expectation(F.col("t")).alias("expectation"))
     if most is None:
