@@ -150,10 +150,13 @@ def log_values(line: Column) -> Column:
     number = lambda x: F.when(x["p"] == "%", x["v"].try_cast("double") / 100).otherwise(x["v"].try_cast("double"))
     own = F.transform(found, lambda x: F.struct(x["k"].alias("k"), number(x).alias("v")))
     alias = F.create_map(*[F.lit(v) for kv in LOG_ALIASES.items() for v in kv])
-    more = F.transform(F.filter(own, lambda x: F.element_at(alias, x["k"]).isNotNull()), lambda x: F.struct(F.element_at(alias, x["k"]).alias("k"), x["v"].alias("v")))
-    every = F.concat(own, more)
-    last = F.filter(F.transform(every, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(every, x["i"] + 2, F.size(every)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+    # An array of one binds the pairs, so that the line is read once, not once a pair.
+    placed = lambda every: F.transform(every, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i")))
+    last = lambda every: F.filter(placed(every), lambda x: ~F.exists(F.slice(every, x["i"] + 2, F.size(every)), lambda y: y["k"] == x["k"]))
+    more = lambda own: F.transform(F.filter(own, lambda x: F.element_at(alias, x["k"]).isNotNull()), lambda x: F.struct(F.element_at(alias, x["k"]).alias("k"), x["v"].alias("v")))
+    every = F.transform(F.array(own), lambda o: F.concat(o, more(o)))
+    kept = F.transform(every, last)[0]
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
 
 
 def human_bytes(n: Column, largest: str = "PB") -> Column:
